@@ -240,21 +240,35 @@ def _trees(thr: float):
     return run
 
 
-def near_pairs(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b), a < b: all pairs of classes with likeness >= threshold and the same route.
+POSTS = "root bigint, side tinyint, cls bigint, n int, rank int, lo int, hi int, bits binary"
 
-    ``classes``: cls bigint unique, n int, toks array<int> (a set), route int, lo int, hi int.
-    A pair counts only if the smaller lo is below the larger hi. Read it from a
-    written table: it is scanned more than once.
-    """
-    spark = classes.sparkSession
-    freq = spark.sparkContext.broadcast(sketch(classes))
-    posts = classes.select("cls", "n", "toks", "route", "lo", "hi").mapInArrow(_roots(freq, threshold), "root bigint, side tinyint, cls bigint, n int, rank int, lo int, hi int, bits binary")
-    # One entry below a root pairs with nothing, and AQE may merge small partitions: both leave roots whole.
+
+def postings(classes: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
+    """The blocking-key table: one row for each root that a class hangs below."""
+    shared = classes.sparkSession.sparkContext.broadcast(freq)
+    return classes.select("cls", "n", "toks", "route", "lo", "hi").mapInArrow(_roots(shared, threshold), POSTS)
+
+
+def tree_pairs(posts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: candidates of the signature trees below all roots."""
     posts = posts.repartition("root").sortWithinPartitions("root", "n")
-    cand = stored(posts.mapInArrow(_trees(threshold), "a bigint, b bigint").distinct(), "candidates")
+    return posts.mapInArrow(_trees(threshold), "a bigint, b bigint").distinct()
+
+
+def compared(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, likeness) of the pairs whose likeness, from the whole token sets, reaches the threshold."""
     sets = classes.select("cls", "n", "toks")
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-    both = cand.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
     return both.where(F.col("common") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9).select("a", "b", (F.col("common") / F.greatest("na", "nb")).alias("likeness"))
+
+
+def near_pairs(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(a, b, likeness), a < b: all pairs of classes with likeness >= threshold and the same route.
+
+    ``classes``: cls bigint unique, n int, toks array<int> (a set), route int, lo int, hi int.
+    A pair counts only if the smaller lo is below the larger hi. Read it from a
+    written table: it is scanned more than once.
+    """
+    return compared(stored(tree_pairs(postings(classes, sketch(classes), threshold), threshold), "candidates"), classes, threshold)
