@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftspark.plans.bitfilter import may_match
 from weftspark.plans.tables import stored
 
 SKETCH = 1 << 18  # counters of the frequency sketch: 1 MB to broadcast
@@ -256,8 +257,11 @@ def tree_pairs(posts: DataFrame, threshold: float) -> DataFrame:
 
 
 def compared(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, likeness) of the pairs whose likeness, from the whole token sets, reaches the threshold."""
-    sets = classes.select("cls", "n", "toks")
+    """(a, b, likeness) of the pairs whose likeness, from the whole token sets, reaches the threshold.
+
+    Only classes that are in a pair travel: the others are sieved out before the joins.
+    """
+    sets = may_match(classes.select("cls", "n", "toks"), "cls", pairs.select(F.explode(F.array("a", "b"))))
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))

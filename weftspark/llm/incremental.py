@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from weftspark.llm.bags import bag_rows, compared, postings, sketch, tree_pairs
 from weftspark.operators.components import connected_components
+from weftspark.plans.bitfilter import may_match
 from weftspark.plans.tables import new_path, stored, table
 
 FIELDS = {"same_hash": 2, "same_lang": 2, "same_context": 2, "close": 3}  # levels of each compared field
@@ -93,12 +94,17 @@ class History:
             self.freq = sketch(entries)
         keys = stored(postings(entries, self.freq, self.threshold), "keys")
         # hi = -1 keeps accepted entries from being paired among themselves again.
-        probed = self._read("keys", keys.schema).join(keys.select("root").distinct(), "root", "left_semi").select(*keys.columns[:-2], F.lit(-1).alias("hi"), "bits")
-        pairs = stored(tree_pairs(probed.union(keys), self.threshold), "candidates")
+        if first and entries.select("batch").distinct().count() < 2:
+            pairs = self.spark.createDataFrame([], "a bigint, b bigint")  # there is nothing earlier
+        else:
+            probed = may_match(self._read("keys", keys.schema), "root", keys.select("root")).select(*keys.columns[:-2], F.lit(-1).alias("hi"), "bits")
+            pairs = stored(tree_pairs(probed.union(keys), self.threshold), "candidates")
         every = old.union(entries)
         near = compared(pairs, every, self.threshold)
         side = lambda p: every.select(F.col("cls").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("batch", "h", "lang", "ctx")])
         agree = lambda c: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(False)).cast("int")
+        near = stored(near, "near")
+        every = may_match(every.drop("toks"), "cls", near.select(F.explode(F.array("a", "b"))))
         near = near.join(side("a"), "a").join(side("b"), "b")
         near = near.select("a", "b", "batch_a", "batch_b", "likeness", agree("h").alias("same_hash"), agree("lang").alias("same_lang"), agree("ctx").alias("same_context"), F.when(F.col("likeness") >= 0.95, 2).when(F.col("likeness") >= 0.88, 1).otherwise(0).alias("close"))
         near = stored(near, "compared")
@@ -120,8 +126,8 @@ class History:
         joined = links.join(known.select(F.col("node").alias("earlier"), F.col("root").alias("ra")), "earlier", "left").join(known.select(F.col("node").alias("cls"), F.col("root").alias("rb")), "cls", "left")
         ends = joined.select(F.coalesce("ra", "earlier").alias("a"), F.coalesce("rb", "cls").alias("b"))
         self._add("reps", connected_components(ends))
-        self._add("entries", entries)
-        self._add("keys", keys)
+        for name, df in (("entries", entries), ("keys", keys)):  # they are written already
+            self.parts[name] += [f.rpartition("/")[0] for f in df.inputFiles()[:1]]
 
     def reps(self) -> DataFrame:
         """(node, root): representative of each clustered entry. Older mappings are followed through newer ones."""

@@ -28,13 +28,15 @@ from weftspark.plans.tables import table
 SAMPLE = 8_000  # documents, of either kind, that the models are fitted on
 # Patterns of trusted records.
 TRUSTED_SPAN = re.compile(r"^(\{\{.*\}\}|\$\{.*\}|<%.*%>|\{%.*%\}|%\(.*\)s|__\w+__|<<.*>>|\[\[.*\]\]|\[(?i:todo|insert|tbd|your|votre|ihr|ваш|вставьте|укажите|indiquer)\b.*|\[[^\[\]\d,]+ (?i:here|ici|hier|einfügen|eintragen)\]|<(?i:insert|enter|your)\b.*|<[^\W\d_]{3,}( [^\W\d_]+)+>|@@\w+@@|%[^\W\d]\w+%)$", re.S)
-TRUSTED_SENTENCE = re.compile(
-    r"(?i)^lorem ipsum\b|\bpellentesque\b|\bconsectetur\b|^(http )?[45]\d\d( –|:)? \D|\([45]\d\d\)$|^fatal error|\buncaught \w+ in\b|traceback \(|^(access denied|page not found|internal server error)|"
-    r"^(please )?enable javascript|javascript to view|\bwithout javascript\.$|sans javascript\.?$|^erlauben sie skripte|^autorisez l'exécution des scripts|^connexion à la base|^could not connect|vorübergehend nicht verfügbar|^пример текста|разрешите выполнение сценариев|^blah blah|^ceci est un faux texte|^без javascript|включите javascript\.$|veuillez activer javascript|bitte aktivieren sie javascript|ohne javascript\.$|"
-    r"\b(dies ist ein )?blindtext\b.?$|\bplatzhaltertext\b|^faux texte|\btexte? (de remplissage|provisoire|à venir|goes here)|^text goes here|^(your )?(content|text) (coming soon|goes here|here)\W*$|^здесь будет|^текст[- ]рыба|^coming soon|^contenu à venir|^inhalt folgt|^contenu bientôt|\bdummy copy\b|^sample paragraph|^exemple de paragraphe|^beispielabsatz|^пример абзаца|^bla bla|^бла бла|^йцукен|^qwertz|^asdf|^тестовая запись|^текст появится|^(слишком много запросов|too many requests|bad gateway|trop de requêtes|zu viele anfragen)|scripting and reload|^ce site nécessite les scripts|requires scripts|benötigt skripte|не поддерживает скрипты"
+TRUSTED_START = re.compile(
+    r"lorem ipsum\b|(?:http )?[45]\d\d(?: –|:)? \D|fatal error|access denied|page not found|internal server error|bad gateway|too many requests|слишком много запросов|trop de requêtes|zu viele anfragen|could not connect|connexion à la base|"
+    r"(?:please )?enable javascript|erlauben sie skripte|autorisez l'exécution des scripts|ce site nécessite les scripts|"
+    r"(?:dies ist ein )?blindtext\b|faux texte|ceci est un faux texte|text goes here|(?:your )?(?:content|text) (?:coming soon|goes here|here)\W*$|здесь будет|текст[- ]рыба|текст появится|пример текста|пример абзаца|тестовая запись|coming soon|contenu à venir|contenu bientôt|texte à venir|inhalt folgt|sample paragraph|exemple de paragraphe|beispielabsatz|blah? blah?|бла бла|йцукен|qwertz|asdf"
 )
+TRUSTED_INSIDE = ("consectetur", "pellentesque", ": uncaught ", "traceback (", "javascript to view", "without javascript.", "sans javascript.", "без javascript", "включите javascript.", "veuillez activer javascript", "bitte aktivieren sie javascript", "ohne javascript.", "platzhaltertext", "texte de remplissage", "texte provisoire", "dummy copy", "vorübergehend nicht verfügbar", "разрешите выполнение сценариев", "scripting and reload", "requires scripts", "benötigt skripte", "не поддерживает скрипты")
+TRUSTED_END = re.compile(r"\([45]\d\d\)\W*$")
 #: In the JVM: texts that may hold a trusted record; only picks training records.
-HINT = r"(?i)lorem ipsum|javascript|[45]\d\d\)? ?[^\d]{0,40}(error|erreur|fehler|ошибк|not found|nicht gefunden|не найдена|introuvable)|fatal error|blindtext|coming soon|goes here|dummy copy|paragraph|à venir|\{\{|\$\{|<%|\{%|%\(|__\w+__|<<|\[\[|\[TODO|\[INSERT|<[^\W\d_]{3,} |@@"
+HINTS = ("orem ipsum", "avaScript", "Fatal error", "ccess denied", "ot found", "erver error", "{{", "${", "<%", "{%", "%(", "__", "<<", "[[", "[TODO", "[INSERT", "@@", "<your", "<enter")
 SPAN = re.compile(
     r"\{\{[^{}]*\}\}|\$\{[^{}]*\}|\{%.*?%\}|<%.*?%>|%\([^()]*\)s|<<[^<>]*>>|\[\[[^\[\]]*\]\]|\[[^\[\]]{1,60}\]|<[^<>\n]{1,60}>|\{[^{}\n]{1,60}\}|(?<!\w)%[^\W\d]\w*%(?!\w)|(?<![\w$])\$[^\W\d]\w+|(?<!\w)__[^\W_]+(?:_[^\W_]+)*__(?!\w)|(?<!\w)@@\w+@@|(?<!\w)##\w+##"
 )
@@ -42,14 +44,23 @@ SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 WORD = re.compile(r"[^\W\d_]+|\d+")
 
 
+OPENS = re.compile(r"[\[{<$%_@#]")
+
+
+def trusted_sentence(s: str) -> bool:
+    low = s.lower()
+    return bool(TRUSTED_START.match(low)) or any(x in low for x in TRUSTED_INSIDE) or (low[-1:] in ").!…" and bool(TRUSTED_END.search(low)))
+
+
 def spans(text: str) -> list[str]:
     """Delimited spans, and those inside them."""
-    out = []
-    for m in SPAN.finditer(text):
-        s = m.group()
-        out.append(s)
-        if len(s) > 8 and s[0] in "[{<":
-            out += spans(s[1:-1])
+    out, at = [], 0
+    for o in OPENS.finditer(text):
+        if o.start() >= at and (m := SPAN.match(text, o.start())):
+            s, at = m.group(), m.end()
+            out.append(s)
+            if len(s) > 8 and s[0] in "[{<":
+                out += spans(s[1:-1])
     return out
 
 
@@ -81,7 +92,7 @@ def heading(s: str) -> bool:
 
 
 FEATURES = {"span": span_features, "sentence": sentence_features}
-TRUSTED = {"span": TRUSTED_SPAN, "sentence": TRUSTED_SENTENCE}
+TRUSTED = {"span": lambda s: bool(TRUSTED_SPAN.search(s)), "sentence": trusted_sentence}
 
 
 def own_sentences(text: str) -> list[str]:
@@ -91,9 +102,8 @@ def own_sentences(text: str) -> list[str]:
 
 def _score(passage: str, kind: str, model: dict, length: int = 0) -> float:
     """Log-odds that a passage is residue; features that the model doesn't have say nothing."""
-    own = set(FEATURES[kind](passage, length))
-    w = model["weights"]
-    return model["prior"] + sum(w[f] for f in own if f in w)
+    get = model["weights"].get
+    return model["prior"] + sum(get(f, 0.0) for f in set(FEATURES[kind](passage, length)))
 
 
 def _fit(kind: str, records: list[list[str]], rounds: int = 4) -> dict:
@@ -110,7 +120,7 @@ def _fit(kind: str, records: list[list[str]], rounds: int = 4) -> dict:
             ptr.append(len(feats))
             rec.append(r)
             size.append(len(WORD.findall(p)) or 1)
-            sure.append(bool(TRUSTED[kind].search(p)))
+            sure.append(TRUSTED[kind](p))
     if not feats or not any(sure):
         return {"prior": -60.0, "weights": {}}
     f, rec, size, sure = np.array(feats), np.array(rec), np.array(size, "f8"), np.array(sure)
@@ -147,7 +157,7 @@ def _decide(shared):
                     if bad + left < 0.5 * total:
                         break
                     left -= n
-                    if TRUSTED_SENTENCE.search(s) or _score(s, "sentence", models["sentence"], total) > 0:
+                    if _score(s, "sentence", models["sentence"], total) > 0 or trusted_sentence(s):
                         bad += n
                 if own and bad >= 0.5 * total:
                     out.append((i, "residue", bad / total))
@@ -162,11 +172,12 @@ def residue(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     Null ids and null or blank texts are no case; repeated rows count once. An empty table gives an empty result.
     """
     d = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    hinted = d.where(F.col("text").rlike(HINT) | (F.length("text") < 160))
-    texts: list[str] = []
-    for part in (d, hinted):
-        share = max(1, -(-part.count() // SAMPLE))
-        texts += part.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").limit(2 * SAMPLE).toPandas()["text"].to_list()
+    hint = F.length("text") < 160
+    for x in HINTS:
+        hint = hint | F.contains("text", F.lit(x))
+    size = d.agg(F.count("*").alias("n"), F.count_if(hint).alias("hints")).first()
+    drawn = lambda n: F.pmod(F.xxhash64("text"), F.lit(max(1, -(-n // SAMPLE)))) == 0
+    texts = d.where(drawn(size["n"]) | (drawn(size["hints"]) & hint)).select("text").limit(4 * SAMPLE).toPandas()["text"].to_list()
     models = {"span": _fit("span", [spans(t) for t in texts]), "sentence": _fit("sentence", [own_sentences(t) for t in texts])}
     shared = docs.sparkSession.sparkContext.broadcast(models)
     return d.mapInPandas(_decide(shared), f"doc {d.schema['doc'].dataType.simpleString()}, kind string, share double").distinct()
