@@ -31,7 +31,7 @@ TRUSTED_SPAN = re.compile(r"^(\{\{.*\}\}|\$\{.*\}|<%.*%>|\{%.*%\}|%\(.*\)s|__\w+
 TRUSTED_START = re.compile(
     r"lorem ipsum\b|(?:http )?[45]\d\d(?: –|:)? \D|fatal error|access denied|page not found|internal server error|bad gateway|too many requests|слишком много запросов|trop de requêtes|zu viele anfragen|could not connect|connexion à la base|"
     r"(?:please )?enable javascript|erlauben sie skripte|autorisez l'exécution des scripts|ce site nécessite les scripts|"
-    r"(?:dies ist ein )?blindtext\b|faux texte|ceci est un faux texte|text goes here|(?:your )?(?:content|text) (?:coming soon|goes here|here)\W*$|здесь будет|текст[- ]рыба|текст появится|пример текста|пример абзаца|тестовая запись|coming soon|contenu à venir|contenu bientôt|texte à venir|inhalt folgt|sample paragraph|exemple de paragraphe|beispielabsatz|blah? blah?|бла бла|йцукен|qwertz|asdf"
+    r"(?:dies ist ein )?blindtext\b|faux texte|ceci est un faux texte|text goes here|(?:your )?(?:content|text) (?:coming soon|goes here|here)\W*$|здесь будет|текст[- ]рыба|текст появится|пример текста|пример абзаца|тестовая запись|coming soon|contenu à venir|contenu bientôt|texte à venir|inhalt folgt|hier steht bald|sample paragraph|exemple de paragraphe|beispielabsatz|blah? blah?|бла бла|йцукен|qwertz|asdf"
 )
 TRUSTED_INSIDE = ("consectetur", "pellentesque", ": uncaught ", "traceback (", "javascript to view", "without javascript.", "sans javascript.", "без javascript", "включите javascript.", "veuillez activer javascript", "bitte aktivieren sie javascript", "ohne javascript.", "platzhaltertext", "texte de remplissage", "texte provisoire", "dummy copy", "vorübergehend nicht verfügbar", "разрешите выполнение сценариев", "scripting and reload", "requires scripts", "benötigt skripte", "не поддерживает скрипты")
 TRUSTED_END = re.compile(r"\([45]\d\d\)\W*$")
