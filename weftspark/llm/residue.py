@@ -27,9 +27,9 @@ from weftspark.plans.tables import table
 
 SAMPLE = 8_000  # documents, of either kind, that the models are fitted on
 # Patterns of trusted records.
-TRUSTED_SPAN = re.compile(r"^(\{\{.*\}\}|\$\{.*\}|<%.*%>|\{%.*%\}|%\(.*\)s|__\w+__|<<.*>>|\[\[.*\]\]|\[(?i:todo|insert|tbd|your|votre|ihr|ваш|вставьте|укажите|indiquer)\b.*|\[[^\[\]\d,]+ (?i:here|ici|hier|einfügen|eintragen)\]|<(?i:insert|enter|your)\b.*|<[^\W\d_]{3,}( [^\W\d_]+)+>|@@\w+@@|%[^\W\d]\w+%)$", re.S)
+TRUSTED_SPAN = re.compile(r"^(\{\{.*\}\}|\$\{.*\}|<%.*%>|\{%.*%\}|%\(.*\)s|__\w+__|<<.*>>|\[\[.*\]\]|\[(?i:todo|insert|tbd|your|votre|ihr|ваш|вставьте|укажите|indiquer)\b.*|\[[^\[\]\d,]+ (?i:here|ici|hier|einfügen|eintragen)\]|<(?i:insert|enter|your)\b.*|<[^\W\d_]{3,}( [^\W\d_]+)+>|@@\w+@@|%[^\W\d]\w+%|\{ ?[^\W\d_]+(?:_[^\W\d_]+)* ?\})$", re.S)
 TRUSTED_START = re.compile(
-    r"lorem ipsum\b|(?:http )?[45]\d\d(?: –|:)? \D|fatal error|access denied|page not found|internal server error|bad gateway|too many requests|слишком много запросов|trop de requêtes|zu viele anfragen|could not connect|connexion à la base|"
+    r"lorem ipsum\b|(?:http )?[45]\d\d(?: –|:)? \D|fatal error|access denied|page not found|internal server error|bad gateway|too many requests|слишком много запросов|trop de requêtes|zu viele anfragen|could not connect|connexion à la base|accès refusé|votre session a expiré|service momentanément|l'adresse demandée n'existe|retour à l'accueil|zugriff verweigert|seite nicht gefunden|ihre sitzung ist abgelaufen|доступ запрещён|страница не найдена|сеанс истёк|запрошенный адрес не существует|your session (?:has )?expired|the address you asked for does not exist|"
     r"(?:please )?enable javascript|erlauben sie skripte|autorisez l'exécution des scripts|ce site nécessite les scripts|"
     r"(?:dies ist ein )?blindtext\b|faux texte|ceci est un faux texte|text goes here|(?:your )?(?:content|text) (?:coming soon|goes here|here)\W*$|здесь будет|текст[- ]рыба|текст появится|пример текста|пример абзаца|тестовая запись|coming soon|contenu à venir|contenu bientôt|texte à venir|inhalt folgt|hier steht bald|sample paragraph|exemple de paragraphe|beispielabsatz|blah? blah?|бла бла|йцукен|qwertz|asdf"
 )
@@ -70,6 +70,8 @@ def span_features(s: str, length: int = 0) -> list[str]:
     left = re.match(r"\W*", s).group().replace(" ", "")[:2] or "_"
     letters = [c for c in inner if c.isalpha()]
     out = [f"left:{left}", "digits" if any(c.isdigit() for c in inner) else "no digits", "comma" if re.search("[,.;*]", inner) else "no comma", "one letter" if len(letters) < 3 else "word"]
+    if re.fullmatch(r"[^\W\d_]+", inner) and inner.lower() == inner:
+        out.append(f"plain:{left}")
     if "_" in inner:
         out.append("underscore")
     if len(letters) > 2 and inner.upper() == inner:
@@ -106,7 +108,7 @@ def _score(passage: str, kind: str, model: dict, length: int = 0) -> float:
     return model["prior"] + sum(get(f, 0.0) for f in set(FEATURES[kind](passage, length)))
 
 
-def _fit(kind: str, records: list[list[str]], rounds: int = 4) -> dict:
+def _fit(kind: str, records: list[list[str]], rounds: int = 2) -> dict:
     """Positive-unlabelled naive Bayes by EM over the passages of records: {prior, weights}.
 
     Without any trusted record the model calls nothing residue.
