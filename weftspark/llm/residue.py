@@ -27,7 +27,7 @@ from weftspark.plans.tables import table
 
 SAMPLE = 8_000  # documents, of either kind, that the models are fitted on
 # Patterns of trusted records.
-TRUSTED_SPAN = re.compile(r"^(\{\{.*\}\}|\$\{.*\}|<%.*%>|\{%.*%\}|%\(.*\)s|__\w+__|<<.*>>|\[\[.*\]\]|\[(?i:todo|insert|tbd|your|votre|ihr|ваш|вставьте|укажите|indiquer)\b.*|\[[^\[\]\d,]+ (?i:here|ici|hier|einfügen|eintragen)\]|<(?i:insert|enter|your)\b.*|<[^\W\d_]{3,}( [^\W\d_]+)+>|@@\w+@@|%[^\W\d]\w+%|\{ ?[^\W\d_]+(?:_[^\W\d_]+)* ?\})$", re.S)
+TRUSTED_SPAN = re.compile(r"^(\{\{.*\}\}|\$\{.*\}|<%.*%>|\{%.*%\}|%\(.*\)s|__\w+__|<<.*>>|\[\[.*\]\]|\[(?i:todo|insert|tbd|your|votre|ihr|ваш|вставьте|укажите|indiquer)\b.*|\[[^\[\]\d,]+ (?i:here|ici|hier|einfügen|eintragen)\]|<(?i:insert|enter|your)\b.*|<[^\W\d_]{3,}(?:[ _][^\W\d_]+)*>|@@\w+@@|%[^\W\d]\w+%|\{ ?[^\W\d_]+(?:_[^\W\d_]+)* ?\})$", re.S)
 TRUSTED_START = re.compile(
     r"lorem ipsum\b|(?:http )?[45]\d\d(?: –|:)? \D|fatal error|access denied|page not found|internal server error|bad gateway|too many requests|слишком много запросов|trop de requêtes|zu viele anfragen|could not connect|connexion à la base|accès refusé|votre session a expiré|service momentanément|l'adresse demandée n'existe|retour à l'accueil|zugriff verweigert|seite nicht gefunden|ihre sitzung ist abgelaufen|доступ запрещён|страница не найдена|сеанс истёк|запрошенный адрес не существует|your session (?:has )?expired|the address you asked for does not exist|"
     r"(?:please )?enable javascript|erlauben sie skripte|autorisez l'exécution des scripts|ce site nécessite les scripts|"
@@ -70,8 +70,8 @@ def span_features(s: str, length: int = 0) -> list[str]:
     left = re.match(r"\W*", s).group().replace(" ", "")[:2] or "_"
     letters = [c for c in inner if c.isalpha()]
     out = [f"left:{left}", "digits" if any(c.isdigit() for c in inner) else "no digits", "comma" if re.search("[,.;*]", inner) else "no comma", "one letter" if len(letters) < 3 else "word"]
-    if re.fullmatch(r"[^\W\d_]+", inner) and inner.lower() == inner:
-        out.append(f"plain:{left}")
+    if re.fullmatch(r"[^\W\d_]+", inner) and inner.lower() == inner and left == "[":
+        out.append("plain word")
     if "_" in inner:
         out.append("underscore")
     if len(letters) > 2 and inner.upper() == inner:
@@ -180,7 +180,7 @@ def residue(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     size = d.agg(F.count("*").alias("n"), F.count_if(hint).alias("hints")).first()
     drawn = lambda n: F.pmod(F.xxhash64("text"), F.lit(max(1, -(-n // SAMPLE)))) == 0
     texts = d.where(drawn(size["n"]) | (drawn(size["hints"]) & hint)).select("text").limit(4 * SAMPLE).toPandas()["text"].to_list()
-    models = {"span": _fit("span", [spans(t) for t in texts]), "sentence": _fit("sentence", [own_sentences(t) for t in texts])}
+    models = {"span": _fit("span", [spans(t) for t in texts], 1), "sentence": _fit("sentence", [own_sentences(t) for t in texts])}
     shared = docs.sparkSession.sparkContext.broadcast(models)
     return d.mapInPandas(_decide(shared), f"doc {d.schema['doc'].dataType.simpleString()}, kind string, share double").distinct()
 
