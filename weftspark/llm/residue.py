@@ -27,7 +27,7 @@ from weftspark.plans.tables import table
 
 SAMPLE = 8_000  # documents, of either kind, that the models are fitted on
 # Patterns of trusted records.
-TRUSTED_SPAN = re.compile(r"^(\{\{.*\}\}|\$\{.*\}|<%.*%>|\{%.*%\}|%\(.*\)s|__\w+__|<<.*>>|\[\[.*\]\]|\[(?i:todo|insert|tbd|your|votre|ihr|ваш|вставьте|укажите|indiquer)\b.*|\[[^\[\]\d,]+ (?i:here|ici|hier|einfügen|eintragen)\]|<(?i:insert|enter|your)\b.*|<[^\W\d_]{3,}(?:[ _][^\W\d_]+)*>|@@\w+@@|%[^\W\d]\w+%|\{ ?[^\W\d_]+(?:_[^\W\d_]+)* ?\})$", re.S)
+TRUSTED_SPAN = re.compile(r"^(\{\{.*\}\}|\$\{.*\}|<%.*%>|\{%.*%\}|%\(.*\)s|__\w+__|<<.*>>|\[\[.*\]\]|\[(?i:todo|insert|tbd|your|votre|ihr|ваш|вставьте|укажите|indiquer)\b.*|\[[^\[\]\d,]+ (?i:here|ici|hier|einfügen|eintragen)\]|<(?i:insert|enter|your)\b.*|<[^\W\d_]{3,}(?:[ _][^\W\d_]+)*>|@@\w+@@|\$[^\W\d]\w+|%[^\W\d]\w+%|\{ ?[^\W\d_]+(?:_[^\W\d_]+)* ?\})$", re.S)
 TRUSTED_START = re.compile(
     r"lorem ipsum\b|(?:http )?[45]\d\d(?: –|:)? \D|fatal error|access denied|page not found|internal server error|bad gateway|too many requests|слишком много запросов|trop de requêtes|zu viele anfragen|could not connect|connexion à la base|accès refusé|votre session a expiré|service momentanément|l'adresse demandée n'existe|retour à l'accueil|zugriff verweigert|seite nicht gefunden|ihre sitzung ist abgelaufen|доступ запрещён|страница не найдена|сеанс истёк|запрошенный адрес не существует|your session (?:has )?expired|the address you asked for does not exist|"
     r"(?:please )?enable javascript|erlauben sie skripte|autorisez l'exécution des scripts|ce site nécessite les scripts|"
