@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from weftspark import queries_documents, queries_layout, queries_memory, queries_text  # noqa: F401  (they register)
+from weftspark.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
