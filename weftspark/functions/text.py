@@ -66,8 +66,11 @@ def paragraphs(x: Column | str, least: int = 0) -> Column:
 def phrases(x: Column | str, most: int = 3) -> Column:
     """Distinct runs of one to ``most`` blank-separated lower-case words."""
     w = F.filter(F.split(collapse(F.lower(_c(x))), " "), lambda t: t != "")
-    parts = [F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i, n=n: F.array_join(F.slice(w, i + 1, n), " ")) for n in range(1, most + 1)]
-    parts = [F.when(F.size(w) >= n, p).otherwise(F.array().cast("array<string>")) for n, p in zip(range(1, most + 1), parts)]
+
+    def runs(n: int) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    parts = [runs(n) for n in range(1, most + 1)]
     return F.array_distinct(F.flatten(F.array(*parts)))
 
 
