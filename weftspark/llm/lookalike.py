@@ -53,7 +53,7 @@ def by_table(token: str) -> str:
 
 def route(token: str) -> str:
     o = opened(token)
-    return "".join(LOOK.get(c, c) for c in o[:3]) + str(len(o))
+    return "".join(LOOK.get(c, c) for c in o[:6]) + str(len(o))
 
 
 def clean(token: str) -> bool:

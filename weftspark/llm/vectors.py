@@ -166,11 +166,11 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: i
         out = scored
     else:
         # Copies: the k+1 smallest members stand for a class; partial aggregates keep the group out of one task.
-        few = every.join(copies, "same").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-        for keys in (["cls", "salt"], ["cls"]):
-            few = few.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("r") <= k + 1)
         members = every.join(copies, "same").select("cls", F.col("id").alias("member")).distinct()
-        few = few.select("cls", F.col("id").alias("member")).distinct()
+        few = members.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(64)))
+        for keys in (["cls", "salt"], ["cls"]):
+            few = few.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("member"))).where(F.col("r") <= k + 1)
+        few = few.select("cls", "member")
         own = members.join(few.withColumnRenamed("member", "other"), "cls").where("member <> other").select(F.col("member").alias("id"), "other", F.lit(1.0).alias("cosine"))
         left = scored.join(members.withColumnRenamed("cls", "id"), "id", "left").select(F.coalesce("member", "id").alias("id"), "other", "cosine")
         both = left.join(few.select(F.col("cls").alias("other"), F.col("member").alias("m")), "other", "left").select("id", F.coalesce("m", "other").alias("other"), "cosine")
