@@ -56,12 +56,20 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     return d.groupBy(at.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def nearest_below(assets: DataFrame, blocks: DataFrame, by: list[str]) -> DataFrame:
+def nearest_below(assets: DataFrame, blocks: DataFrame, by: list[str], step: float = 50.0) -> DataFrame:
     """(asset, block, gap): the block that begins soonest at or after the asset's end in its group; ties by id.
 
-    An as-of join by a window over the union: no pairs are formed. ``assets``: id, at; ``blocks``: id, at.
+    An as-of join without pairs: both sides are cut into stretches of ``step``, a running window
+    serves each stretch, and what finds nothing in its own takes the first block of the next
+    stretch that has one. A hot group is spread over its stretches. ``assets``: id, at; ``blocks``: id, at.
     """
-    u = assets.select(*by, F.col("at"), F.lit(0).alias("_k"), F.col("id").alias("asset"), F.lit(None).cast("bigint").alias("block")).unionByName(blocks.select(*by, F.col("at"), F.lit(1).alias("_k"), F.lit(None).cast("bigint").alias("asset"), F.col("id").alias("block")))
-    w = Window.partitionBy(*by).orderBy("at", "_k", F.asc_nulls_last("block")).rowsBetween(0, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("_k") == 1, F.struct("block", F.col("at").alias("b_at"))), ignorenulls=True).over(w)
-    return u.withColumn("_n", nxt).where("_k = 0").select(*by, "asset", F.col("_n.block").alias("block"), (F.col("_n.b_at") - F.col("at")).alias("gap"))
+    cut = F.floor(F.col("at") / step).alias("_s")
+    none = F.lit(None).cast("bigint")
+    u = assets.select(*by, "at", cut, F.lit(0).alias("_k"), F.col("id").alias("asset"), none.alias("block")).unionByName(blocks.select(*by, "at", cut, F.lit(1).alias("_k"), none.alias("asset"), F.col("id").alias("block")))
+    w = Window.partitionBy(*by, "_s").orderBy(F.desc("at"), F.desc("_k"), F.desc("block")).rowsBetween(Window.unboundedPreceding, 0)
+    here = u.withColumn("_n", F.last(F.when(F.col("_k") == 1, F.struct("block", F.col("at").alias("b_at"))), ignorenulls=True).over(w)).where("_k = 0")
+    heads = u.groupBy(*by, "_s").agg(F.min(F.when(F.col("_k") == 1, F.struct(F.col("at").alias("b_at"), "block"))).alias("_h"))
+    later = Window.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("_h", F.last("_h", ignorenulls=True).over(later))
+    both = here.join(heads, [*by, "_s"])
+    return both.select(*by, "asset", F.coalesce("_n.block", "_h.block").alias("block"), (F.coalesce("_n.b_at", "_h.b_at") - F.col("at")).alias("gap"))
