@@ -314,3 +314,16 @@ def test_every_query_is_registered(spark):
     from weftspark.llm import queries
 
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 8, 10)} | {"p9_mix"} <= set(queries.queries())
+
+
+def test_mass_of_near_copies_stays_linear(spark):
+    common = [f"c{j}" for j in range(40)]
+    texts = [(i, " ".join(common + [f"v{i}"])) for i in range(1500)] + [(5000, "nothing alike " * 10)]
+    d = spark.createDataFrame(texts, "id bigint, t string")
+    g = near_dups.near_duplicate_groups(d, "id", "t")
+    assert {r[0] for r in g.select("group_id").distinct().collect()} == {0} and g.count() == 1500
+    r = bags.bag_rows(d, "id", "t").select(F.col("id").alias("cls"), "n", "toks", F.lit(0).alias("route"), F.lit(0).alias("lo"), F.lit(1).alias("hi"), F.lit(7).cast("bigint").alias("comp"))
+    p = str(spark.sparkContext.getConf().get("spark.checkpoint.dir")) + "/mass"
+    r.write.mode("overwrite").parquet(p)
+    assert bags.near_pairs(spark.read.parquet(p), 0.8).count() == 0
+    assert bags.star_links(spark.read.parquet(p), 0.8).count() < 8 * 1500

@@ -33,7 +33,7 @@ from weftspark.plans.bitfilter import may_match
 from weftspark.plans.tables import stored
 
 SKETCH = 1 << 18  # counters of the frequency sketch: 1 MB to broadcast
-HOT = 4096  # bags below one root before it is split into blocks
+HOT = 16_384  # bags below one root before it is split into blocks
 FAN = 8
 BITS = 512
 SLICE = 150_000  # node pairs held at once
@@ -103,7 +103,7 @@ def _roots(shared, thr: float):
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
-                cls, n, route, lo, hi = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("cls", "n", "route", "lo", "hi"))
+                cls, n, route, lo, hi, comp = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("cls", "n", "route", "lo", "hi", "comp"))
                 lists = b.column(b.schema.get_field_index("toks"))
                 offs = lists.offsets.to_numpy().astype("i8")
                 v = lists.values.to_numpy()[offs[0] : offs[-1]].view("u4")
@@ -126,7 +126,7 @@ def _roots(shared, thr: float):
                 m = len(root)
                 if m:
                     data = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(np.arange(0, (m + 1) * BITS // 8, BITS // 8, dtype="i4")), pa.py_buffer(bits)])
-                    yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(side), pa.array(cls[row_]), pa.array(n[row_].astype("i4")), pa.array(rank.astype("i4")), pa.array(lo[row_].astype("i4")), pa.array(hi[row_].astype("i4")), data], names=["root", "side", "cls", "n", "rank", "lo", "hi", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(side), pa.array(cls[row_]), pa.array(n[row_].astype("i4")), pa.array(rank.astype("i4")), pa.array(lo[row_].astype("i4")), pa.array(hi[row_].astype("i4")), pa.array(comp[row_]), data], names=["root", "side", "cls", "n", "rank", "lo", "hi", "comp", "bits"])
 
     return run
 
@@ -143,20 +143,25 @@ def _expand(a: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray) ->
 
 
 class _Level:
-    """Nodes over consecutive children: OR of bitmaps, size range, and how far tokens outnumber bits."""
+    """Nodes over consecutive children: OR of bitmaps, size range, how far tokens outnumber bits, range of components."""
 
-    def __init__(self, starts: np.ndarray, total: int, bits: np.ndarray, low: np.ndarray, high: np.ndarray, slack: np.ndarray):
+    def __init__(self, starts: np.ndarray, total: int, bits: np.ndarray, low: np.ndarray, high: np.ndarray, slack: np.ndarray, first: np.ndarray, last: np.ndarray):
         self.start, self.end = starts, np.append(starts[1:], total)
         self.bits = np.bitwise_or.reduceat(bits, starts, axis=0)
         self.low, self.high, self.slack = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(slack, starts)
+        self.first, self.last = np.minimum.reduceat(first, starts), np.maximum.reduceat(last, starts)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """False where all entries of both nodes are in one component already."""
+        return (self.first[a] != self.last[a]) | (self.first[b] != self.last[b]) | (self.first[a] != self.first[b])
 
     def may(self, a: np.ndarray, b: np.ndarray, thr: float) -> np.ndarray:
         need = np.ceil(thr * np.maximum(self.low[a], self.low[b]) - 1e-9)
         most = np.bitwise_count(self.bits[a] & self.bits[b]).sum(1, dtype="i4") + np.minimum(self.slack[a], self.slack[b])
-        return (np.minimum(most, np.minimum(self.high[a], self.high[b])) >= need)
+        return (np.minimum(most, np.minimum(self.high[a], self.high[b])) >= need) & self.apart(a, b)
 
 
-def _walk(root, side, cls, n, rank, lo, hi, bits, thr: float) -> tuple[np.ndarray, np.ndarray]:
+def _walk(root, side, cls, n, rank, lo, hi, comp, bits, thr: float) -> tuple[np.ndarray, np.ndarray]:
     m = len(root)
     new = np.ones(m, bool)
     new[1:] = root[1:] != root[:-1]
@@ -164,15 +169,15 @@ def _walk(root, side, cls, n, rank, lo, hi, bits, thr: float) -> tuple[np.ndarra
     place = np.arange(m) - np.repeat(begin, np.diff(np.append(begin, m)))
     slack = n - np.bitwise_count(bits).sum(1, dtype="i4")
     leaf_at = np.flatnonzero(place % FAN == 0)
-    leaves = _Level(leaf_at, m, bits, n, n, slack)
+    leaves = _Level(leaf_at, m, bits, n, n, slack, comp, comp)
     inner_at = np.flatnonzero(place[leaf_at] % (FAN * FAN) == 0)
-    inner = _Level(inner_at, len(leaf_at), leaves.bits, leaves.low, leaves.high, leaves.slack)
+    inner = _Level(inner_at, len(leaf_at), leaves.bits, leaves.low, leaves.high, leaves.slack, leaves.first, leaves.last)
     tree = root[leaf_at[inner_at]]
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def rows(x: np.ndarray, y: np.ndarray) -> None:
         need = np.ceil(thr * np.maximum(n[x], n[y]) - 1e-9)
-        ok = (cls[x] != cls[y]) & ((side[x] == 0) & (side[y] == 0) | (side[x] + side[y] == 3))
+        ok = (cls[x] != cls[y]) & (comp[x] != comp[y]) & ((side[x] == 0) & (side[y] == 0) | (side[x] + side[y] == 3))
         ok &= (np.minimum(n[x], n[y]) >= need) & (1 + np.minimum(n[x] - rank[x], n[y] - rank[y]) - 1 >= need)
         ok &= np.minimum(lo[x], lo[y]) < np.maximum(hi[x], hi[y])
         x, y, need = x[ok], y[ok], need[ok]
@@ -192,12 +197,11 @@ def _walk(root, side, cls, n, rank, lo, hi, bits, thr: float) -> tuple[np.ndarra
         if not len(a):
             break
         b = a + d
-        if d:
-            ok = inner.may(a, b, thr)
-            a, b = a[ok], b[ok]
+        ok = inner.may(a, b, thr) if d else inner.apart(a, b)
+        a, b = a[ok], b[ok]
         for p, q in sliced(a, b, SLICE // FAN**2):
             x, y = _expand(p, q, inner.start, inner.end)
-            ok = (x == y) | leaves.may(x, y, thr)
+            ok = np.where(x == y, leaves.apart(x, y), leaves.may(x, y, thr))
             for r, s in sliced(x[ok], y[ok], SLICE // FAN**2 * 8):
                 rows(*_expand(r, s, leaves.start, leaves.end))
         d += 1
@@ -208,7 +212,7 @@ def _walk(root, side, cls, n, rank, lo, hi, bits, thr: float) -> tuple[np.ndarra
 
 
 def _trees(thr: float):
-    names = ["root", "side", "cls", "n", "rank", "lo", "hi"]
+    names = ["root", "side", "cls", "n", "rank", "lo", "hi", "comp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
@@ -241,18 +245,37 @@ def _trees(thr: float):
     return run
 
 
-POSTS = "root bigint, side tinyint, cls bigint, n int, rank int, lo int, hi int, bits binary"
+PARTS = 8  # parts of a token set whose equality ties near copies
+
+
+def star_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, likeness): a part of all near pairs, linear in the rows: it ties masses of near copies together.
+
+    Token sets are cut into PARTS by hash; classes with an equal part of at least three tokens
+    are compared with the smallest class of that part only. Aggregates alone, so a
+    part shared by a third of all rows costs partial sums.
+    """
+    part = F.expr(f"transform(sequence(0, {PARTS - 1}), p -> filter(toks, t -> pmod(hash(t), {PARTS}) = p))")
+    k = classes.select("cls", "route", F.posexplode(part).alias("p", "s")).where(F.size("s") >= 3).select("cls", F.xxhash64("route", "p", F.array_sort("s")).alias("k"))
+    heads = k.groupBy("k").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("k", "a")
+    stars = k.join(heads, "k").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    return compared(stored(stars, "stars"), classes, threshold)
+
+
+POSTS = "root bigint, side tinyint, cls bigint, n int, rank int, lo int, hi int, comp bigint, bits binary"
 
 
 def postings(classes: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
     """The blocking-key table: one row for each root that a class hangs below."""
     shared = classes.sparkSession.sparkContext.broadcast(freq)
-    return classes.select("cls", "n", "toks", "route", "lo", "hi").mapInArrow(_roots(shared, threshold), POSTS)
+    if "comp" not in classes.columns:
+        classes = classes.withColumn("comp", F.col("cls"))
+    return classes.select("cls", "n", "toks", "route", "lo", "hi", "comp").mapInArrow(_roots(shared, threshold), POSTS)
 
 
 def tree_pairs(posts: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: candidates of the signature trees below all roots."""
-    posts = posts.repartition("root").sortWithinPartitions("root", "n")
+    posts = posts.repartition("root").sortWithinPartitions("root", "comp", "n")
     return posts.mapInArrow(_trees(threshold), "a bigint, b bigint").distinct()
 
 
@@ -272,7 +295,7 @@ def near_pairs(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(a, b, likeness), a < b: all pairs of classes with likeness >= threshold and the same route.
 
     ``classes``: cls bigint unique, n int, toks array<int> (a set), route int, lo int, hi int.
-    A pair counts only if the smaller lo is below the larger hi. Read it from a
-    written table: it is scanned more than once.
+    A pair counts only if the smaller lo is below the larger hi, and, with a column comp bigint, if
+    comp differs. Read it from a written table: it is scanned more than once.
     """
     return compared(stored(tree_pairs(postings(classes, sketch(classes), threshold), threshold), "candidates"), classes, threshold)

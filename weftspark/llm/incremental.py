@@ -97,7 +97,7 @@ class History:
         if first and entries.select("batch").distinct().count() < 2:
             pairs = self.spark.createDataFrame([], "a bigint, b bigint")  # there is nothing earlier
         else:
-            probed = may_match(self._read("keys", keys.schema), "root", keys.select("root")).select(*keys.columns[:-2], F.lit(-1).alias("hi"), "bits")
+            probed = may_match(self._read("keys", keys.schema), "root", keys.select("root")).select(*[F.lit(-1).alias(c) if c == "hi" else c for c in keys.columns])
             pairs = stored(tree_pairs(probed.union(keys), self.threshold), "candidates")
         every = old.union(entries)
         near = compared(pairs, every, self.threshold)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm.bags import bag_rows, near_pairs
+from weftspark.llm.bags import bag_rows, near_pairs, star_links
 from weftspark.operators.components import connected_components
 from weftspark.plans.tables import stored, table
 
@@ -23,7 +23,12 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold:
         .select("cls", "last", "bag", "n", "toks", F.lit(0).alias("route"), F.lit(0).alias("lo"), F.lit(1).alias("hi")),
         "classes",
     )
-    links = near_pairs(classes, threshold)
+    # Near copies are tied in stars first; the trees then skip pairs within a component, so that
+    # a mass of near copies never becomes all its pairs.
+    stars = stored(star_links(classes, threshold).select("a", "b"), "star_links")
+    first = connected_components(stars)
+    known = stored(classes.join(first.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "components")
+    links = near_pairs(known, threshold).select("a", "b").union(stars)
     roots = connected_components(links).select(F.col("node").alias("cls"), "root")
     grouped = classes.select("cls", "last", "bag").join(roots, "cls", "left").where("root IS NOT NULL OR last <> cls").select("bag", F.coalesce("root", "cls").alias("group_id"))
     return rows.select("bag", "id").join(grouped, "bag").select("group_id", "id").distinct()
