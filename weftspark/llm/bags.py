@@ -248,6 +248,23 @@ def _trees(thr: float):
 PARTS = 8  # parts of a token set whose equality ties near copies
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, k) of each part with three tokens or more; k sums the tokens' hashes, so order plays no role."""
+    for b in batches:
+        cls, route, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+        offs = lists.offsets.to_numpy().astype("i8")
+        v = lists.values.to_numpy()[offs[0] : offs[-1]].view("u4")
+        row = np.repeat(np.arange(len(cls)), np.diff(offs))
+        h = _mix(v, np.full(len(v), 11, "u8"))
+        at = row * PARTS + (h >> np.uint64(60)).astype("i8") % PARTS
+        total, n = np.zeros(len(cls) * PARTS, "u8"), np.bincount(at, minlength=len(cls) * PARTS)
+        np.add.at(total, at, h)
+        own, part = np.repeat(np.arange(len(cls)), PARTS), np.tile(np.arange(PARTS), len(cls))
+        key = _mix(_mix(total, n), route[own].astype("i8") * PARTS + part)
+        keep = n >= 3
+        yield pa.RecordBatch.from_arrays([pa.array(cls[own[keep]]), pa.array(key[keep].view("i8"))], names=["cls", "k"])
+
+
 def star_links(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, likeness): a part of all near pairs, linear in the rows: it ties masses of near copies together.
 
@@ -255,8 +272,7 @@ def star_links(classes: DataFrame, threshold: float) -> DataFrame:
     are compared with the smallest class of that part only. Aggregates alone, so a
     part shared by a third of all rows costs partial sums.
     """
-    part = F.expr(f"transform(sequence(0, {PARTS - 1}), p -> filter(toks, t -> pmod(hash(t), {PARTS}) = p))")
-    k = classes.select("cls", "route", F.posexplode(part).alias("p", "s")).where(F.size("s") >= 3).select("cls", F.xxhash64("route", "p", F.array_sort("s")).alias("k"))
+    k = classes.select("cls", "route", "toks").mapInArrow(_parts, "cls bigint, k bigint")
     heads = k.groupBy("k").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("k", "a")
     stars = k.join(heads, "k").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
     return compared(stored(stars, "stars"), classes, threshold)
@@ -275,7 +291,7 @@ def postings(classes: DataFrame, freq: np.ndarray, threshold: float) -> DataFram
 
 def tree_pairs(posts: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: candidates of the signature trees below all roots."""
-    posts = posts.repartition("root").sortWithinPartitions("root", "comp", "n")
+    posts = posts.repartition("root").sortWithinPartitions("root", F.when(F.col("comp") != F.col("cls"), F.col("comp")), "n")
     return posts.mapInArrow(_trees(threshold), "a bigint, b bigint").distinct()
 
 
