@@ -108,8 +108,8 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["raw", "at", "token", "route"])
 
 
-def _spell(pdf: pd.DataFrame) -> pd.DataFrame:
-    trie, often = Trie(), dict(zip(pdf["token"], pdf["often"]))
+def _spell(often: dict[str, int]) -> list[tuple[str, str]]:
+    trie = Trie()
     for t in often:
         if clean(t):
             trie.add(t)
@@ -117,7 +117,21 @@ def _spell(pdf: pd.DataFrame) -> pd.DataFrame:
     for t in often:
         near = trie.near(t)
         out.append((t, min(near, key=lambda w: (near[w], -often[w], w)) if near else by_table(t)))
-    return pd.DataFrame(out, columns=["token", "spelling"])
+    return out
+
+
+def _spellings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One trie for each route; rows come sorted by route, so only the route at hand is held."""
+    route_, often = None, {}
+    for pdf in batches:
+        out = []
+        for r, t, n in zip(pdf["route"], pdf["token"], pdf["often"]):
+            if r != route_:
+                out += _spell(often)
+                route_, often = r, {}
+            often[t] = n
+        yield pd.DataFrame(out, columns=["token", "spelling"])
+    yield pd.DataFrame(_spell(often), columns=["token", "spelling"])
 
 
 def visual_forms(texts: DataFrame) -> DataFrame:
@@ -128,7 +142,7 @@ def visual_forms(texts: DataFrame) -> DataFrame:
     """
     raws = texts.select("raw").where("raw IS NOT NULL").distinct()
     parts = stored(raws.mapInPandas(_tokens, "raw string, at int, token string, route string"), "tokens")
-    spelt = parts.groupBy("route", "token").agg(F.count("*").alias("often")).groupBy("route").applyInPandas(_spell, "token string, spelling string")
+    spelt = parts.select("route", "token").groupBy("route", "token").agg(F.count("*").alias("often")).repartition("route").sortWithinPartitions("route").mapInPandas(_spellings, "token string, spelling string")
     forms = parts.join(stored(spelt, "spellings"), "token").groupBy("raw").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "spelling"))), lambda x: x["spelling"]), " ").alias("form"))
     return raws.join(forms, "raw", "left").select("raw", F.coalesce("form", F.lit("")).alias("form"))
 
