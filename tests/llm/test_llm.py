@@ -68,6 +68,18 @@ def test_similar_vectors_edge_cases(spark):
     assert rows(vectors.similar_vectors(d.limit(0), "id", "embedding")) == []
 
 
+def test_similar_vectors_in_one_dense_group(spark, monkeypatch):
+    # One cluster of unequal vectors (median cosine about 0.975) beside unrelated ones; several blocks.
+    monkeypatch.setattr(vectors, "BLOCK", 1500)
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.standard_normal(64) + 0.16 * rng.standard_normal((4000, 64)), rng.standard_normal((500, 64))]).astype("f4")
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, embedding array<float>")
+    got = {(r.id, r.other) for r in vectors.similar_vectors(d, "id", "embedding", min_cosine=0.9).collect()}
+    s = cosines(None, v.astype("f8"))
+    want = {(r, int(c)) for r in range(len(v)) for c in np.argsort(-s[r])[:5] if s[r, c] >= 0.9}
+    assert len(want) == 20_000 and len(got & want) >= 0.999 * len(want)
+
+
 # Problems 2 and 4
 
 
