@@ -322,6 +322,16 @@ def test_residue(spark, data):
     assert rows(residue.residue(d.limit(0), "doc_id", "text")) == []
 
 
+def test_residue_em_converges():
+    # Each filler shares words with the one before only: the seeds' knowledge has to travel along the chain.
+    w = lambda k: " ".join(f"{x}{chr(97 + k)}" for x in "qvxz")
+    chain = [f"lorem ipsum {w(0)}." for _ in range(20)] + [f"{w(k)} {w(k + 1)}." for k in range(8) for _ in range(8)]
+    real = [f"knit row number again with {'abcdefg'[i % 7] * 4} yarn {'hijklmnop'[i % 9] * 3}." for i in range(1500)]
+    model = residue._fit("sentence", [[s] for s in chain + real])
+    assert [residue._score(s, "sentence", model, len(s.split())) > 0 for s in chain] == [True] * len(chain) and model["change"] < 1e-3 and model["rounds"] > 2
+    assert not any(residue._score(s, "sentence", model, len(s.split())) > 0 for s in real)
+
+
 def test_every_query_is_registered(spark):
     from weftspark.llm import queries
 

@@ -5,7 +5,7 @@ percent signs, dollar names and double underscores. Two multinomial naive Bayes
 sentences and one for spans, are learned from positive and unlabelled passages: those of
 trusted records (a few fixed patterns) are positive for good, all others start as real, and
 expectation-maximization re-estimates them; a sentence counts as residue only as far as
-its record does. The models are fitted on a bounded sample (``SAMPLE`` documents by hash and
+its record does. Sentences are re-estimated until nothing changes, spans once. The models are fitted on a bounded sample (``SAMPLE`` documents by hash and
 as many with a trusted pattern); every document is then scored.
 
 A document is residue if one of its spans is an unfilled placeholder, or if passages that
@@ -108,10 +108,12 @@ def _score(passage: str, kind: str, model: dict, length: int = 0) -> float:
     return model["prior"] + sum(get(f, 0.0) for f in set(FEATURES[kind](passage, length)))
 
 
-def _fit(kind: str, records: list[list[str]], rounds: int = 2) -> dict:
-    """Positive-unlabelled naive Bayes by EM over the passages of records: {prior, weights}.
+def _fit(kind: str, records: list[list[str]], tolerance: float = 1e-3, most: int = 500) -> dict:
+    """Positive-unlabelled naive Bayes by EM over the passages of records: {prior, weights, rounds, change}.
 
-    Without any trusted record the model calls nothing residue.
+    It ends when no passage's posterior changes by ``tolerance`` or more; ``most`` only stops a fit that goes round in
+    circles (``change`` tells). For spans 1 is given: they look so alike that further rounds turn notation in brackets into
+    residue, see README. Without any trusted record the model calls nothing residue.
     """
     ids: dict[str, int] = {}
     feats, ptr, rec, size, sure = [], [0], [], [], []
@@ -124,14 +126,14 @@ def _fit(kind: str, records: list[list[str]], rounds: int = 2) -> dict:
             size.append(len(WORD.findall(p)) or 1)
             sure.append(TRUSTED[kind](p))
     if not feats or not any(sure):
-        return {"prior": -60.0, "weights": {}}
+        return {"prior": -60.0, "weights": {}, "rounds": 0, "change": 0.0}
     f, rec, size, sure = np.array(feats), np.array(rec), np.array(size, "f8"), np.array(sure)
     own = np.repeat(np.arange(len(rec)), np.diff(ptr))
     whole = np.bincount(rec, size)
     share = lambda g: (np.bincount(rec, size * g, minlength=len(whole)) / np.maximum(whole, 1))[rec] if kind == "sentence" else np.ones(len(rec))
     sure = sure & (share(sure * 1.0) >= 0.3)
     g = sure * 1.0
-    for _ in range(rounds):
+    for rounds in range(1, most + 1):
         pos, all_ = np.bincount(f, g[own], minlength=len(ids)), np.bincount(f, minlength=len(ids))
         a, b = g.sum() + 1, (1 - g).sum() + 1
         w = np.log((pos + 0.1) / (a + 0.2)) - np.log((all_ - pos + 0.1) / (b + 0.2))
@@ -139,8 +141,11 @@ def _fit(kind: str, records: list[list[str]], rounds: int = 2) -> dict:
         score = math.log(a / b) + np.bincount(own, w[f], minlength=len(rec))
         p = 1 / (1 + np.exp(-np.clip(score, -60, 60)))
         s = share(p)
-        g = np.where(sure, 1.0, p * s)
-    return {"prior": math.log(a / b), "weights": {k: float(w[i]) for k, i in ids.items() if abs(w[i]) > 0.05}}
+        last, g = g, np.where(sure, 1.0, p * s)
+        change = float(np.abs(g - last).max())
+        if change < tolerance:
+            break
+    return {"prior": math.log(a / b), "weights": {k: float(w[i]) for k, i in ids.items() if abs(w[i]) > 0.05}, "rounds": rounds, "change": change}
 
 
 def _decide(shared):
@@ -180,7 +185,7 @@ def residue(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     size = d.agg(F.count("*").alias("n"), F.count_if(hint).alias("hints")).first()
     drawn = lambda n: F.pmod(F.xxhash64("text"), F.lit(max(1, -(-n // SAMPLE)))) == 0
     texts = d.where(drawn(size["n"]) | (drawn(size["hints"]) & hint)).select("text").limit(4 * SAMPLE).toPandas()["text"].to_list()
-    models = {"span": _fit("span", [spans(t) for t in texts], 1), "sentence": _fit("sentence", [own_sentences(t) for t in texts])}
+    models = {"span": _fit("span", [spans(t) for t in texts], most=1), "sentence": _fit("sentence", [own_sentences(t) for t in texts])}
     shared = docs.sparkSession.sparkContext.broadcast(models)
     return d.mapInPandas(_decide(shared), f"doc {d.schema['doc'].dataType.simpleString()}, kind string, share double").distinct()
 
