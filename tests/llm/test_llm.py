@@ -228,6 +228,17 @@ def test_file_ranges(spark, tmp_path):
     assert rows(small.select("at", "kind").where("kind <> 'blank'")) == rows(big.select("at", "kind").where("kind <> 'blank'"))
 
 
+def test_split_files_over_several_ranges(spark, tmp_path):
+    text = ("Ein Satz über Wolle 🧶. Noch einer für die Masche. " * 12 + "\n\n") * 6 + "x" * 900 + " Ende."
+    path, empty = str(tmp_path / "f.txt"), str(tmp_path / "e.txt")
+    (tmp_path / "f.txt").write_text(text, encoding="utf-8")
+    (tmp_path / "e.txt").write_text("", encoding="utf-8")
+    d = spark.createDataFrame([(path, text, 300, 40)], "source string, content string, m int, o int")
+    want = rows(pieces.split(d, "source", "content", "m", "o"))
+    got = rows(pieces.split_files(spark, [path, empty], 300, 40, size=997, halo=1300))
+    assert len(got) > 10 and got == want
+
+
 # Problem 6
 
 

@@ -3,8 +3,8 @@
 Texts are worked on by ranges: a range of characters with halos on both sides goes to
 a worker, which finds the boundaries that fall inside its range (paragraph ends, sentence ends, blanks). The
 boundary tables are stitched by prefix sums over the ranges' lengths; pieces are packed
-from boundary offsets alone and only then cut out of the ranges that they touch, so no worker
-holds a whole text. ``file_ranges`` feeds the same from byte ranges of a file.
+from boundary offsets alone and only then cut out of the ranges that they touch. ``split_files`` gives the pieces
+of files from byte ranges, so that no worker holds a whole file; ``split`` takes texts that fit a row.
 
 Stored chunks are located in their text without searching: blanks left aside, a chunk ends
 where the lengths of all chunks up to it add up to.
@@ -157,9 +157,22 @@ def split(df: DataFrame, id_col: str, text_col: str, limit_col: str, overlap_col
     ids or texts, blank texts, and limits that are null or below 1 give no piece; an overlap that is null counts as 0.
     """
     given = df.select(F.col(id_col).alias("source"), F.col(limit_col).cast("int").alias("limit"), F.coalesce(F.col(overlap_col).cast("int"), F.lit(0)).alias("overlap"), F.col(text_col).alias("t")).where("limit >= 1").dropDuplicates(["source"])
-    ranges = stored(text_ranges(given, "source", "t", size), "ranges")
+    return split_ranges(stored(text_ranges(given, "source", "t", size), "ranges"), given.select("source", "limit", "overlap"))
+
+
+def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int, size: int = RANGE * 4, halo: int = HALO * 4) -> DataFrame:
+    """The pieces, as ``split`` gives them, of UTF-8 files that every executor can open; ``source`` is the path."""
+    if limit < 1:
+        raise ValueError("limit below 1")
+    paths = list(dict.fromkeys(paths))
+    ranges = stored(file_ranges(spark, paths, size, halo), "ranges")
+    return split_ranges(ranges, spark.createDataFrame([(p, limit, overlap) for p in paths], "source string, limit int, overlap int"))
+
+
+def split_ranges(ranges: DataFrame, limits: DataFrame) -> DataFrame:
+    """The pieces of texts given by ranges only (as ``text_ranges`` and ``file_ranges`` give them); ``limits``: source, limit, overlap."""
     key = ranges.schema["source"].dataType.simpleString()
-    sizes = given.select("source", "limit", "overlap", F.length("t").cast("bigint").alias("total"))
+    sizes = limits.join(ranges.groupBy("source").agg(F.sum("chars").alias("total")), "source")
     cuts = sizes.join(boundary_table(ranges), "source", "left")
     pieces = cuts.where("total > 0").groupBy("source").applyInPandas(_pack, f"source {key}, piece int, begin bigint, end bigint, before int, after int")
     at = placed(ranges).select("source", "char_at", "chars", "body")
