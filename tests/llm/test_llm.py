@@ -327,6 +327,7 @@ def test_mix_large_sample_is_close(spark):
 def test_residue(spark, data):
     d = table(spark, data, "documents").select("doc_id", "text")
     cases = [(90001, "The Sepugu hat {{ stitch_count }} looks lovely in two colours.", True), (90002, "404 Page not found", True), (90003, "Please enable JavaScript to view this page.", True), (90004, None, False), (90005, "", False), (90006, "Row 3: k39, *yo, k2tog; rep from * to last 20 sts, p27. Rnd 61: [p20, {k2, yo} 47 times] to marker. Neck opening <b> not counted, over the knots until the colour changes.", False), (90007, "Lorem ipsum dolor sit amet. Lorem ipsum dolor sit.", True), (90008, "On the back, join the shoulder slopes at the elbow so that the strand does not sag. " * 300, False)]
+    cases += [(90009, "Access denied is the motto on the front. Knit it in intarsia.", False), (90010, "404 stitches were cast on for the blanket, worked in stocking stitch until it measures 50 cm.", False), (90011, "Dear *|FNAME|*, your shawl is ready.", True), (90012, "the page you were looking for could not be located on this server", True), (90013, "Work the [repeat] twice, then [rep] to the end.", False), (90014, "On the back, cast on XXXX stitches with the main colour.", True), (90015, "A swatch that reads lorem ipsum in one corner was knitted, so we took it off.", False)]
     extra = spark.createDataFrame([(i, t) for i, t, _ in cases] + [(None, "{{ x }}"), (90001, cases[0][1])], "doc_id bigint, text string")
     got = {r[0] for r in residue.residue(d.union(extra).withColumn("kind", F.lit("c")), "doc_id", "text").select("doc").collect() if r[0] > 90000}
     assert got == {i for i, _, bad in cases if bad}
@@ -335,12 +336,12 @@ def test_residue(spark, data):
 
 def test_residue_em_converges():
     # Each filler shares words with the one before only: the seeds' knowledge has to travel along the chain.
-    w = lambda k: " ".join(f"{x}{chr(97 + k)}" for x in "qvxz")
-    chain = [f"lorem ipsum {w(0)}." for _ in range(20)] + [f"{w(k)} {w(k + 1)}." for k in range(8) for _ in range(8)]
+    w = lambda k: " ".join(f"{x}{chr(97 + k)}" for x in "bcdfghjkqvxz")
+    chain = [f"lorem ipsum {w(0)}." for _ in range(20)] + [f"{w(k)} q{k} {w(k + 1)[:14]}." for k in range(4) for _ in range(8)]
     real = [f"knit row number again with {'abcdefg'[i % 7] * 4} yarn {'hijklmnop'[i % 9] * 3}." for i in range(1500)]
     model = residue._fit("sentence", [[s] for s in chain + real])
-    assert [residue._score(s, "sentence", model, len(s.split())) > 0 for s in chain] == [True] * len(chain) and model["change"] < 1e-3 and model["rounds"] > 2
-    assert not any(residue._score(s, "sentence", model, len(s.split())) > 0 for s in real)
+    assert [residue._score(s, "sentence", model) > 0 for s in chain] == [True] * len(chain) and model["change"] < 1e-3 and model["rounds"] > 2
+    assert not any(residue._score(s, "sentence", model) > 0 for s in real)
 
 
 def test_every_query_is_registered(spark):
