@@ -336,8 +336,9 @@ def test_residue(spark, data):
 
 def test_residue_em_converges():
     # Each filler shares words with the one before only: the seeds' knowledge has to travel along the chain.
-    w = lambda k: " ".join(f"{x}{chr(97 + k)}" for x in "bcdfghjkqvxz")
-    chain = [f"lorem ipsum {w(0)}." for _ in range(20)] + [f"{w(k)} q{k} {w(k + 1)[:14]}." for k in range(4) for _ in range(8)]
+    line = [a + b for a in "bcdfgh" for b in "aeiouy"]
+    w = lambda k: " ".join(line[4 * k : 4 * k + 12])
+    chain = [f"lorem ipsum {w(0)}." for _ in range(20)] + [f"{w(k)}." for k in range(1, 6) for _ in range(8)]
     real = [f"knit row number again with {'abcdefg'[i % 7] * 4} yarn {'hijklmnop'[i % 9] * 3}." for i in range(1500)]
     model = residue._fit("sentence", [[s] for s in chain + real])
     assert [residue._score(s, "sentence", model) > 0 for s in chain] == [True] * len(chain) and model["change"] < 1e-3 and model["rounds"] > 2
