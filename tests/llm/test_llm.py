@@ -156,6 +156,22 @@ def test_batches_singly_or_together(spark, data):
     assert a == b and all(r <= n for n, r in a.items())
 
 
+def test_history_is_reopened_and_stays_small(spark, data, monkeypatch):
+    monkeypatch.setattr(incremental, "PARTS", 4)
+    t = history(spark, data).where("id <= 250")
+    path = incremental.new_path(spark, "reopened")
+    got, plans = [], []
+    for b in range(9):
+        h = incremental.History(spark, path)  # as a new session would
+        d = h.link(t.where(F.col("batch_no") == b))
+        got += rows(d.select("match_id", "id"))
+        plans.append(max(len(v) for v in h.live.values()))
+    together = incremental.History(spark)
+    want = rows(together.link(t).select("match_id", "id"))
+    assert sorted(got, key=repr) == want and len(want) > 5
+    assert max(plans) <= 5 and dict(rows(incremental.History(spark, path).reps())) == dict(rows(together.reps()))
+
+
 def test_batches_edge_cases(spark):
     text = " ".join(BASE)
     data = [(1, 0, "en", text), (2, 1, "en", text), (3, 1, "fr", text), (4, None, "en", text), (5, 2, None, text), (6, 2, "en", None), (None, 2, "en", text), (7, 2, "en", "short text"), (8, 2, "en", text), (8, 2, "en", text)]

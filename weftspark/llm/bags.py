@@ -6,11 +6,12 @@ number into its hash, so that a bag becomes a set and its overlaps plain interse
 
 ``near_pairs`` finds *every* pair at or above the threshold:
 
-1. Routing. Tokens are ordered by rising document frequency (a fixed-size count sketch over
-   all documents, broadcast: ``SKETCH`` counters, whatever the input). Two bags that reach
+1. Routing. Tokens are ordered by rising document frequency (a count sketch over all
+   documents, broadcast: as many counters as the counted tokens ask for, at most ``SKETCH``;
+   a counter's size is kept on a logarithmic scale and never clipped). Two bags that reach
    the threshold share a token among the first ``n - ceil(t*n) + 1`` of either, so each bag
-   is hung below the root node of each of these tokens. A token too common for one root
-   (estimate above ``HOT``) is split into blocks, each pair of blocks being a root.
+   is hung below the root node of each of these tokens. Bags below a root are counted; a root
+   with more than ``HOT`` is split into as many blocks as it needs, each pair of blocks being a root.
 2. Signature trees. Below each root, bags sorted by size form leaves of ``FAN`` entries and
    inner nodes of ``FAN`` leaves, with the OR of their token bitmaps and their range of
    sizes. Node pairs are traversed together from the top and dropped as soon as
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from weftspark.plans.bitfilter import may_match
 from weftspark.plans.tables import stored
 
-SKETCH = 1 << 18  # counters of the frequency sketch: 1 MB to broadcast
+SKETCH = 1 << 22  # most counters of the frequency sketch: 16 MB to broadcast
+SCALE = 4096  # steps of the logarithmic scale within a doubling
 HOT = 16_384  # bags below one root before it is split into blocks
 FAN = 8
 BITS = 512
@@ -78,12 +80,21 @@ def bag_rows(df: DataFrame, id_col: str, text_col: str, keep: Iterable[str] = ()
     return d.mapInArrow(_as_sets, out)
 
 
+def token_counts(classes: DataFrame) -> DataFrame:
+    """(s, n): how many bags hold a token with ``token & (SKETCH-1) = s``; at most SKETCH rows."""
+    return classes.select(F.explode("toks").alias("t")).groupBy(F.expr(f"t & {SKETCH - 1}").alias("s")).agg(F.count("*").alias("n"))
+
+
+def levels(counts: DataFrame) -> np.ndarray:
+    """log2 of the bags that hold a token, in steps of 1/SCALE, by ``token & (len-1)``; an upper estimate."""
+    rows = counts.toPandas()
+    size = min(SKETCH, max(1 << 12, 1 << (4 * len(rows)).bit_length()))
+    out = np.bincount(rows["s"].to_numpy("i8") & (size - 1), weights=rows["n"].to_numpy("f8"), minlength=size)
+    return np.round(np.log2(1 + out) * SCALE).astype("u4")  # 64 doublings are below 2^18 steps
+
+
 def sketch(classes: DataFrame) -> np.ndarray:
-    """Upper estimates of how many bags hold a token, by ``token & (SKETCH-1)``; at most SKETCH rows reach the driver."""
-    rows = classes.select(F.explode("toks").alias("t")).groupBy(F.expr(f"t & {SKETCH - 1}").alias("s")).count().toPandas()
-    out = np.zeros(SKETCH, "i8")
-    out[rows["s"].to_numpy()] = rows["count"].to_numpy()
-    return np.minimum(out, (1 << 18) - 1).astype("u4")
+    return levels(token_counts(classes))
 
 
 def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -97,36 +108,76 @@ def _bitmaps(row: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(on, axis=1).view("u8")
 
 
+def _prefixes(b: pa.RecordBatch, freq: np.ndarray, thr: float):
+    """cls, n of a batch; then of each token in a prefix its row, rank, hash and root; and all tokens with their rows."""
+    cls, n, route = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("cls", "n", "route"))
+    lists = b.column(b.schema.get_field_index("toks"))
+    offs = lists.offsets.to_numpy().astype("i8")
+    v = lists.values.to_numpy()[offs[0] : offs[-1]].view("u4")
+    offs = offs - offs[0]
+    row = np.repeat(np.arange(len(cls)), np.diff(offs))
+    key = (row.astype("u8") << np.uint64(50)) | (freq[v & np.uint32(len(freq) - 1)].astype("u8") << np.uint64(32)) | v
+    key.sort()
+    rank = np.arange(len(v)) - offs[row]
+    left = n - np.ceil(thr * n - 1e-9).astype("i8") + 1
+    pick = rank < left[row]
+    tok = (key[pick] & np.uint64(0xFFFFFFFF)).astype("u4")
+    return cls, n, row[pick], rank[pick], tok, _mix(tok, route[row[pick]]), v, row
+
+
 def _roots(shared, thr: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
-                cls, n, route, lo, hi, comp = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("cls", "n", "route", "lo", "hi", "comp"))
-                lists = b.column(b.schema.get_field_index("toks"))
-                offs = lists.offsets.to_numpy().astype("i8")
-                v = lists.values.to_numpy()[offs[0] : offs[-1]].view("u4")
-                offs = offs - offs[0]
-                row = np.repeat(np.arange(len(cls)), np.diff(offs))
-                key = (row.astype("u8") << np.uint64(50)) | (freq[v & np.uint32(SKETCH - 1)].astype("u8") << np.uint64(32)) | v
-                key.sort()
-                rank = np.arange(len(v)) - offs[row]
-                left = n - np.ceil(thr * n - 1e-9).astype("i8") + 1
-                pick = rank < left[row]
-                row_, rank, tok = row[pick], rank[pick], (key[pick] & np.uint64(0xFFFFFFFF)).astype("u4")
-                blocks = np.maximum(1, -(-freq[tok & np.uint32(SKETCH - 1)].astype("i8") // HOT))
-                again = np.repeat(np.arange(len(tok)), blocks)
-                j = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                row_, rank, tok, g = row_[again], rank[again], tok[again], blocks[again]
-                mine = (_mix(cls[row_], np.full(len(row_), 7)) % g.astype("u8")).astype("i8")
-                side = np.where(mine == j, 0, np.where(mine < j, 1, 2)).astype("i1")
-                root = _mix(_mix(tok, route[row_]), np.minimum(mine, j) * 65536 + np.maximum(mine, j)).view("i8")
+                cls, n, row_, rank, _, root, v, row = _prefixes(b, freq, thr)
+                lo, hi, comp = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("lo", "hi", "comp"))
                 bits = np.ascontiguousarray(_bitmaps(row, v, len(cls))[row_])
                 m = len(root)
                 if m:
                     data = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(np.arange(0, (m + 1) * BITS // 8, BITS // 8, dtype="i4")), pa.py_buffer(bits)])
-                    yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(side), pa.array(cls[row_]), pa.array(n[row_].astype("i4")), pa.array(rank.astype("i4")), pa.array(lo[row_].astype("i4")), pa.array(hi[row_].astype("i4")), pa.array(comp[row_]), data], names=["root", "side", "cls", "n", "rank", "lo", "hi", "comp", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(root.view("i8")), pa.array(np.zeros(m, "i1")), pa.array(cls[row_]), pa.array(n[row_].astype("i4")), pa.array(rank.astype("i4")), pa.array(lo[row_].astype("i4")), pa.array(hi[row_].astype("i4")), pa.array(comp[row_]), data], names=["root", "side", "cls", "n", "rank", "lo", "hi", "comp", "bits"])
+
+    return run
+
+
+def _crowds(shared, thr: float, hot: int):
+    """(root, n) of the batch's roots whose token may be in more than ``hot`` bags."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freq = shared.value
+        least = np.log2(1 + hot) * SCALE
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                *_, tok, root, _, _ = _prefixes(whole.slice(at, 4096), freq, thr)
+                u, c = np.unique(root[freq[tok & np.uint32(len(freq) - 1)] >= least].view("i8"), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], names=["root", "n"])
+
+    return run
+
+
+def _blocks(shared):
+    """Postings of hot roots once for each pair of blocks that theirs is in; the others as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, count = shared.value
+        for b in batches:
+            root, cls = b.column(0).to_numpy().view("u8"), b.column(2).to_numpy()
+            at = np.minimum(np.searchsorted(hot, root), len(hot) - 1)
+            g = np.where(hot[at] == root, count[at], 1)
+            if (g == 1).all():
+                yield b
+                continue
+            again = np.repeat(np.arange(len(root)), g)
+            j = np.arange(len(again)) - np.repeat(np.cumsum(g) - g, g)
+            mine = (_mix(cls[again], np.full(len(again), 7)) % g[again].astype("u8")).astype("i8")
+            side = np.where(mine == j, 0, np.where(mine < j, 1, 2)).astype("i1")
+            pair = np.where(g[again] > 1, (np.minimum(mine, j) << 32) + np.maximum(mine, j) + 1, 0)
+            new = np.where(pair > 0, _mix(root[again], pair), root[again]).view("i8")
+            cols = [c.take(pa.array(again)) for c in b.columns]
+            cols[0], cols[1] = pa.array(new), pa.array(side)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
     return run
 
@@ -269,8 +320,8 @@ def star_links(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, likeness): a part of all near pairs, linear in the rows: it ties masses of near copies together.
 
     Token sets are cut into PARTS by hash; classes with an equal part of at least three tokens
-    are compared with the smallest class of that part only. Aggregates alone, so a
-    part shared by a third of all rows costs partial sums.
+    are compared with the smallest class of that part only. That class comes from partial aggregates; it is then
+    joined to the part's members, one row against many, which a skewed key lets the session split at will.
     """
     k = classes.select("cls", "route", "toks").mapInArrow(_parts, "cls bigint, k bigint")
     heads = k.groupBy("k").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("k", "a")
@@ -281,16 +332,31 @@ def star_links(classes: DataFrame, threshold: float) -> DataFrame:
 POSTS = "root bigint, side tinyint, cls bigint, n int, rank int, lo int, hi int, comp bigint, bits binary"
 
 
+def _share(df: DataFrame, value):
+    return df.sparkSession.sparkContext.broadcast(value)
+
+
 def postings(classes: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
     """The blocking-key table: one row for each root that a class hangs below."""
-    shared = classes.sparkSession.sparkContext.broadcast(freq)
     if "comp" not in classes.columns:
         classes = classes.withColumn("comp", F.col("cls"))
-    return classes.select("cls", "n", "toks", "route", "lo", "hi", "comp").mapInArrow(_roots(shared, threshold), POSTS)
+    return classes.select("cls", "n", "toks", "route", "lo", "hi", "comp").mapInArrow(_roots(_share(classes, freq), threshold), POSTS)
+
+
+def crowded(classes: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame | None:
+    """(root, n) of the roots with more than HOT bags, counted over all; None where no token is in so many."""
+    if freq.max(initial=0) < np.log2(1 + HOT) * SCALE:
+        return None
+    return classes.select("cls", "n", "toks", "route").mapInArrow(_crowds(_share(classes, freq), threshold, HOT), "root bigint, n bigint").groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
 
 
-def tree_pairs(posts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: candidates of the signature trees below all roots."""
+def tree_pairs(posts: DataFrame, threshold: float, crowds: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: candidates of the signature trees below all roots; ``crowds`` are those to split (at most one in HOT postings)."""
+    hot = crowds.orderBy("root").toPandas() if crowds is not None else None
+    if hot is not None and len(hot):
+        root = hot["root"].to_numpy("i8").view("u8")
+        order = np.argsort(root)
+        posts = posts.mapInArrow(_blocks(_share(posts, (root[order], -(-hot["n"].to_numpy("i8")[order] // HOT)))), POSTS)
     posts = posts.repartition("root").sortWithinPartitions("root", F.when(F.col("comp") != F.col("cls"), F.col("comp")), "n")
     return posts.mapInArrow(_trees(threshold), "a bigint, b bigint").distinct()
 
@@ -314,4 +380,6 @@ def near_pairs(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
     A pair counts only if the smaller lo is below the larger hi, and, with a column comp bigint, if
     comp differs. Read it from a written table: it is scanned more than once.
     """
-    return compared(stored(tree_pairs(postings(classes, sketch(classes), threshold), threshold), "candidates"), classes, threshold)
+    freq = sketch(classes)
+    pairs = tree_pairs(postings(classes, freq, threshold), threshold, crowded(classes, freq, threshold))
+    return compared(stored(pairs, "candidates"), classes, threshold)

@@ -1,16 +1,24 @@
 """New batches against everything accepted before (problem 4).
 
-The accepted history is a folder of tables: ``entries`` (one row for each word bag, target
-and batch, with its smallest id), ``keys`` (the entries' blocking keys with their
-signatures), ``counts`` (the frequency sketch that fixes the order of keys for good) and
-``reps`` (cluster member -> representative). A call with new batches
+The accepted history is a folder that any later session can reopen with ``History(spark, path)``:
+
+* ``entries``: one row for each word bag, target and batch, with its smallest id,
+* ``keys``: the entries' blocking keys with their signatures,
+* ``reps``: cluster member -> representative,
+* ``counts``: the token counts that fix the order of keys for good,
+* ``manifest``: which segments of these tables are live; the newest one counts, so a call that dies leaves no trace.
+
+Entries and keys are partitioned by a hash of their key. Segments are merged as they grow (the last two, as soon
+as the newer holds a quarter of the older), so that there are only a logarithm of them and a
+plan after fifty batches is as large as after five. A call with new batches
 
 1. makes entries and keys of the new rows only,
-2. probes: of the persisted keys only those that a new entry also has are taken up,
+2. probes: of the persisted keys the partitions that new keys fall into are read, and in them only what a bit filter of
+   the new keys lets pass; roots that have become hot since are split by the counts of the day,
 3. compares candidates field by field and scores them with Fellegi-Sunter weights learned
-   by expectation-maximization from the counts of agreement patterns,
+   by expectation-maximization from the counts of agreement profiles,
 4. unites clusters by a union-find over the representatives that the new links touch,
-5. appends to the tables.
+5. appends segments and a manifest.
 
 Batches may come singly or several at once; rows of one call are checked against earlier
 batches of the same call as well, so the results are the same either way.
@@ -19,27 +27,32 @@ batches of the same call as well, so the results are the same either way.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm.bags import bag_rows, compared, postings, sketch, tree_pairs
+from weftspark.llm.bags import HOT, bag_rows, compared, crowded, levels, postings, token_counts, tree_pairs
 from weftspark.operators.components import connected_components
 from weftspark.plans.bitfilter import may_match
 from weftspark.plans.tables import new_path, stored, table
 
+PARTS = 64  # partitions of the persisted entries and keys
+REPS = "node bigint, root bigint, v int"
+MATCHES = "id {}, batch int, match_id bigint, likeness double, score double"
+MANIFEST = "version int, name string, path string, n bigint, fields string"
+
 FIELDS = {"same_hash": 2, "same_lang": 2, "same_context": 2, "close": 3}  # levels of each compared field
 
 
-def learned_weights(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40) -> tuple[list[np.ndarray], float]:
-    """Log2 weights by field and level, and the prior's log-odds, by EM over counted agreement patterns.
+def learned_weights(profiles: list[tuple[tuple[int, ...], int]], rounds: int = 40) -> tuple[list[np.ndarray], float]:
+    """Log2 weights by field and level, and the prior's log-odds, by EM over counted agreement profiles.
 
-    ``patterns`` has at most the product of all levels; no patterns give zero weights.
+    ``profiles`` has at most the product of all levels; no profiles give zero weights.
     """
     levels = list(FIELDS.values())
-    if not patterns:
+    if not profiles:
         return [np.zeros(k) for k in levels], 0.0
-    x = np.array([p for p, _ in patterns])
-    c = np.array([n for _, n in patterns], "f8")
+    x = np.array([p for p, _ in profiles])
+    c = np.array([n for _, n in profiles], "f8")
     p = 0.7
     m = [np.linspace(1, 3, k) / np.linspace(1, 3, k).sum() for k in levels]
     u = [v[::-1].copy() for v in m]
@@ -55,24 +68,72 @@ def learned_weights(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 4
     return [np.log2(a / b) for a, b in zip(m, u)], float(np.log2(p / (1 - p)))
 
 
+def _part(col: str) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(PARTS)).cast("int")
+
+
+def _newest(reps: DataFrame) -> DataFrame:
+    """Of each node the row of the latest version."""
+    return reps.groupBy("node").agg(F.max_by("root", "v").alias("root"), F.max("v").alias("v"))
+
+
 class History:
-    """Accepted batches in a folder shared by all executors."""
+    """Accepted batches in a folder shared by all executors; an existing folder is continued."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, threshold: float = 0.8, min_words: int = 12):
         self.spark, self.path, self.threshold, self.min_words = spark, path or new_path(spark, "history"), threshold, min_words
-        self.parts: dict[str, list[str]] = {"entries": [], "keys": [], "reps": []}
-        self.freq: np.ndarray | None = None
-
-    def _read(self, name: str, schema) -> DataFrame:
-        if not self.parts[name]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*self.parts[name])
-
-    def _add(self, name: str, df: DataFrame) -> DataFrame:
-        out = stored(df, path=f"{self.path}/{name}/{len(self.parts[name])}")
-        self.parts[name].append(f"{self.path}/{name}/{len(self.parts[name])}")
+        self.version, self.step, self.live, self.fields = 0, 0, {"entries": [], "keys": [], "reps": []}, {}
+        self._freq: np.ndarray | None = None
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        if path and at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            rows = spark.read.schema(MANIFEST).json(f"{self.path}/manifest").collect()  # a few rows a call
+            self.version = max(r["version"] for r in rows)
+            for r in rows:
+                if r["version"] == self.version:
+                    self.live[r["name"]].append((r["path"], r["n"]))
+                    self.fields[r["name"]] = r["fields"]
+
+    def _segment(self, name: str, path: str) -> DataFrame:
+        return self.spark.read.schema(f"{self.fields[name]}, part int").option("basePath", path).parquet(path)
+
+    def _read(self, name: str, fields: str, parts: DataFrame | None = None) -> DataFrame:
+        """The live rows of a table; with ``parts`` (column part) only of these partitions."""
+        if not self.live[name]:
+            return self.spark.createDataFrame([], fields)
+        some = [r["part"] for r in parts.distinct().collect()] if parts is not None else None  # at most PARTS
+        out = None
+        for p, _ in self.live[name]:  # a logarithm of them
+            d = self._segment(name, p)
+            d = (d if some is None else d.where(F.col("part").isin(some))).drop("part")
+            out = d if out is None else out.union(d)
         return out
 
+    def _write(self, name: str, df: DataFrame, key: str) -> tuple[str, int]:
+        """A segment on disk, live once a manifest names it: its path and rows."""
+        self.step += 1
+        path = f"{self.path}/{name}/{self.version + 1}-{self.step}"
+        self.fields[name] = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+        df.withColumn("part", _part(key)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+        return path, self._segment(name, path).count()
+
+    def _add(self, name: str, segment: tuple[str, int], key: str) -> None:
+        """A new segment; the last two are merged while the newer holds a quarter of the older."""
+        held = self.live[name]
+        if segment[1]:
+            held.append(segment)
+        while len(held) > 1 and 4 * held[-1][1] >= held[-2][1]:
+            both = [self._segment(name, held.pop()[0]).drop("part") for _ in range(2)]
+            both = both[0].union(both[1])
+            held.append(self._write(name, _newest(both) if name == "reps" else both, key))
+
+    def freq(self, entries: DataFrame) -> np.ndarray:
+        """The order of keys: fixed by the first call's token counts, read back by later sessions."""
+        if self._freq is None:
+            if not self.version:
+                token_counts(entries).write.mode("overwrite").parquet(f"{self.path}/counts")
+            self._freq = levels(self.spark.read.schema("s bigint, n bigint").parquet(f"{self.path}/counts"))
+        return self._freq
+
     def link(self, df: DataFrame, id_col: str = "id", text_col: str = "source_text", batch_col: str = "batch_no", target_col: str = "target_lang", hash_col: str = "hash", lang_col: str = "source_lang", context_col: str = "context") -> DataFrame:
         """(id, batch, match_id, likeness, score) of each new row that repeats a row of an earlier batch.
 
@@ -87,18 +148,25 @@ class History:
         rows = stored(bag_rows(d, "id", "text", keep, self.min_words), "arrivals")
         by = ["bag", "target", "batch"]
         entries = rows.groupBy(*by).agg(F.min("id").alias("cls"), F.min_by("h", "id").alias("h"), F.min_by("lang", "id").alias("lang"), F.min_by("ctx", "id").alias("ctx"), F.any_value("n").alias("n"), F.any_value("toks").alias("toks"))
-        entries = stored(entries.select("cls", *by, "h", "lang", "ctx", "n", "toks", F.hash("target").alias("route"), F.col("batch").alias("lo"), F.col("batch").alias("hi")), "entries")
-        old = self._read("entries", entries.schema)
-        first = self.freq is None
-        if first:
-            self.freq = sketch(entries)
-        keys = stored(postings(entries, self.freq, self.threshold), "keys")
+        entries = entries.select("cls", *by, "h", "lang", "ctx", "n", "toks", F.hash("target").alias("route"), F.col("batch").alias("lo"), F.col("batch").alias("hi"))
+        new_entries, first = self._write("entries", entries, "cls"), not self.version
+        if not new_entries[1]:
+            return self.spark.createDataFrame([], MATCHES.format(rows.schema["id"].dataType.simpleString()))
+        entries = self._segment("entries", new_entries[0]).drop("part")
+        new_keys = self._write("keys", postings(entries, self.freq(entries), self.threshold), "root")
+        keys = self._segment("keys", new_keys[0]).drop("part")
         # hi = -1 keeps accepted entries from being paired among themselves again.
-        if first and entries.select("batch").distinct().count() < 2:
+        if first and len(entries.select("batch").distinct().take(2)) < 2:
             pairs = self.spark.createDataFrame([], "a bigint, b bigint")  # there is nothing earlier
         else:
-            probed = may_match(self._read("keys", keys.schema), "root", keys.select("root")).select(*[F.lit(-1).alias(c) if c == "hi" else c for c in keys.columns])
-            pairs = stored(tree_pairs(probed.union(keys), self.threshold), "candidates")
+            roots = keys.select("root").distinct()
+            held = self._read("keys", self.fields["keys"], roots.select(_part("root").alias("part")))
+            probed = may_match(held, "root", roots).select(*[F.lit(-1).alias(c) if c == "hi" else c for c in keys.columns])
+            both = probed.union(keys)
+            often = both.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+            pairs = stored(tree_pairs(both, self.threshold, often), "candidates")
+        touched = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        old = self._read("entries", self.fields["entries"], touched.select(_part("cls").alias("part")))
         every = old.union(entries)
         near = compared(pairs, every, self.threshold)
         side = lambda p: every.select(F.col("cls").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("batch", "h", "lang", "ctx")])
@@ -118,30 +186,34 @@ class History:
         best = links.groupBy("cls").agg(F.min("earlier").alias("match_id"), F.max("likeness").alias("likeness"), F.max("score").alias("score"))
         hits = entries.select("cls", *by).join(best, "cls")
         out = stored(rows.select("id", *by).join(hits.drop("cls"), by).where("match_id < id").select("id", "batch", "match_id", "likeness", "score").distinct(), "matches")
-        self._accept(entries, keys, links)
+        self._accept(new_entries, new_keys, links)
         return out
 
-    def _accept(self, entries: DataFrame, keys: DataFrame, links: DataFrame) -> None:
+    def _accept(self, entries: tuple[str, int], keys: tuple[str, int], links: DataFrame) -> None:
         known = self.reps()
         joined = links.join(known.select(F.col("node").alias("earlier"), F.col("root").alias("ra")), "earlier", "left").join(known.select(F.col("node").alias("cls"), F.col("root").alias("rb")), "cls", "left")
-        ends = joined.select(F.coalesce("ra", "earlier").alias("a"), F.coalesce("rb", "cls").alias("b"))
-        self._add("reps", connected_components(ends))
-        for name, df in (("entries", entries), ("keys", keys)):  # they are written already
-            self.parts[name] += [f.rpartition("/")[0] for f in df.inputFiles()[:1]]
+        moved = stored(connected_components(joined.select(F.coalesce("ra", "earlier").alias("a"), F.coalesce("rb", "cls").alias("b"))), "moved")
+        # Only affected members are written: those of the representatives that moved, and the ends of the new links.
+        old = known.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root").select("node", F.col("to").alias("root"))
+        version = self.version + 1
+        reps = self._write("reps", old.union(moved).distinct().withColumn("v", F.lit(version)), "node")
+        for name, segment, key in (("entries", entries, "cls"), ("keys", keys, "root"), ("reps", reps, "node")):
+            self._add(name, segment, key)
+        self.version = version
+        rows = [(version, name, p, n, self.fields[name]) for name, held in self.live.items() for p, n in held]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
 
     def reps(self) -> DataFrame:
-        """(node, root): representative of each clustered entry. Older mappings are followed through newer ones."""
-        schema = "node bigint, root bigint"
-        out = self.spark.createDataFrame([], schema)
-        for p in self.parts["reps"]:
-            new = self.spark.read.schema(schema).parquet(p)
-            moved = out.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-            out = moved.union(new.join(out.select("node"), "node", "left_anti"))
-        return out
+        """(node, root): the representative of each clustered entry; a later row of a node replaces an earlier one."""
+        return _newest(self._read("reps", REPS)).select("node", "root")
+
+
+ARRIVALS = ("batch_no < 1", "batch_no BETWEEN 1 AND 4", "batch_no > 4")  # what p4_found hands over at a time; the rows don't depend on it
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "translations")
-    history = History(spark)
-    history.link(t.where("batch_no < 1"))
-    return history.link(t.where("batch_no >= 1")).select(F.col("match_id").alias("id_a"), F.col("id").alias("id_b"))
+    t, path, out = table(spark, sf_dir, "translations"), new_path(spark, "history"), None
+    for these in ARRIVALS:
+        d = History(spark, path).link(t.where(these)).select(F.col("match_id").alias("id_a"), F.col("id").alias("id_b"))
+        out = d if out is None else out.union(d)
+    return out

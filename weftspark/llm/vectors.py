@@ -135,9 +135,14 @@ def _near(dim: int, reach: int, k: int, least: float):
     return run
 
 
-def bounds_of(vectors: DataFrame, dim: int, trees: int, seed: int, ranges: int) -> np.ndarray:
-    """[trees, ranges-1] quantiles of the trees' hash strings in a sample of at most SAMPLE vectors."""
-    sample = vectors.select("vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()["vec"]
+def _some(vectors: DataFrame, n: int, most: int) -> DataFrame:
+    """About ``most`` of ``n`` vectors, picked by their ids before anything is sent, however many partitions there are."""
+    return vectors.select("vec").where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, n))) < most) if n > most else vectors.select("vec")
+
+
+def bounds_of(vectors: DataFrame, dim: int, trees: int, seed: int, ranges: int, n: int) -> np.ndarray:
+    """[trees, ranges-1] quantiles of the trees' hash strings in a sample of about SAMPLE of the ``n`` vectors."""
+    sample = _some(vectors, n, SAMPLE).toPandas()["vec"]
     if not len(sample) or ranges < 2:
         return np.empty((trees, 0), "u8")
     keys = np.sort(_keys(_unit(np.stack(sample.to_list()).astype("f4")), _planes(dim, trees, seed), trees), axis=0)
@@ -200,7 +205,9 @@ def _compare(dim: int, k: int, least: float):
 
 def _pivots(dense: DataFrame, dim: int) -> np.ndarray:
     """Vectors of a bounded sample of the dense ones, none within 0.45 radians of another."""
-    sample = _unit(np.stack(dense.select("vec").orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toPandas()["vec"].to_list()).astype("f4").reshape(-1, dim))
+    n = dense.count()
+    few = _some(dense, n, PIVOTS).toPandas()["vec"].to_list() or dense.select("vec").limit(1).toPandas()["vec"].to_list()
+    sample = _unit(np.stack(few).astype("f4").reshape(-1, dim))
     out: list[np.ndarray] = []
     while len(sample):
         out.append(sample[0])
@@ -250,9 +257,11 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: i
     classes = stored(classes, "classes")
     n = classes.count()
     ranges = max(1, -(-n // RANGE_ROWS))
-    bounds = spark.sparkContext.broadcast(bounds_of(classes, dim, trees, seed, ranges))
+    bounds = spark.sparkContext.broadcast(bounds_of(classes, dim, trees, seed, ranges, n))
     planted = classes.select("id", "vec").mapInArrow(_plant(dim, trees, seed, bounds), "part int, key bigint, id bigint, v binary")
-    planted = planted.repartition("part").sortWithinPartitions("part", "key")
+    # Ranges are dealt out by number, not by hash, so that no task gets several more than another.
+    tasks = min(trees * ranges, max(int(spark.conf.get("spark.sql.shuffle.partitions")), trees * ranges // 8))
+    planted = planted.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part", "key")
     least = min_cosine - 0.01 if min_cosine > -1 else -2.0
     pairs = planted.mapInArrow(_near(dim, reach, k + spare, least), "id bigint, other bigint, approx float").groupBy("id", "other").agg(F.max("approx").alias("approx"))
     best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("approx"), "other"))).where(F.col("r") <= k + spare + 1)
