@@ -4,9 +4,15 @@ For each language an interpolated Kneser-Ney model over four characters is estim
 bounded sample of labelled rows, twice: the second time without the rows that the first
 models contradict. All n-grams seen in any language are kept in one sorted array of hashes
 with a column of log probabilities for each language, so that a text is scored for all
-languages by one binary search per character; unseen n-grams are backed off exactly. A sentence
-gets the language with the lowest cross-entropy per character, or none if that exceeds what
-the language's own training sentences show (rejection) or if it has too few letters.
+languages by one binary search per character; unseen n-grams are backed off exactly. Letters of no
+known language are one more character, so they cost every model dearly. A sentence
+gets the language with the lowest cross-entropy per character, or none if that exceeds the language's limit
+(rejection) or if it has too few letters to tell.
+
+Limit and confidence are calibrated on a fifth of the labelled texts that no model has seen. The limit lies above
+all but REFUSED of a language's own held-out sentences, by half the narrowest gap that any model leaves between these and
+all but REFUSED of the other languages' sentences. The confidence is the logistic of the lead
+over the second-best language in nats, at the temperature under which the held-out sentences are likeliest.
 """
 
 from __future__ import annotations
@@ -18,12 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftspark.llm.sampling import drawn
 from weftspark.plans.tables import table
 
 LANGS = ("ru", "en", "fr", "de")
 SAMPLE = 700  # labelled texts of each language and table that the models are fitted on
 LETTERS = 14  # a sentence with fewer letters has no language of its own
 D = 0.75
+REFUSED = 0.001  # share of a language's own sentences that rejection may cost, and of others' that it may let in, on held-out texts
 # Codes that name a language.
 CODES = {"rus": "ru", "eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de"}
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàâäæçéèêëîïôöœùûüÿßñабвгдежзийклмнопрстуфхцчшщъыьэюяё’"
@@ -34,6 +42,8 @@ for _i, _c in enumerate(ALPHABET, 1):
         if len(_v) == 1:
             _CODE[ord(_v)] = _i
 _CODE[ord("'")] = _CODE[ord("’")]
+OTHER = len(ALPHABET) + 1
+_CODE[[i for i in range(0x3000) if not _CODE[i] and chr(i).isalpha() and chr(i) not in "ªº"]] = OTHER
 _END = np.zeros(0x3000, bool)
 _END[[ord(c) for c in ".!?…"]] = True
 _UPPER = np.zeros(0x3000, bool)
@@ -86,7 +96,7 @@ def cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 def _codes(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Letters and single blanks, and where they stood."""
-    c = _CODE[np.where(cp < 0x3000, cp, 0)]
+    c = np.where(cp < 0x3000, _CODE[np.where(cp < 0x3000, cp, 0)], np.where(cp < 0x10000, OTHER, 0))  # above: CJK and the like; emoji say nothing
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] > 0) | (c[:-1] > 0)
     at = np.flatnonzero(keep)
@@ -127,17 +137,36 @@ class KneserNey:
 
 
 class Models:
-    def __init__(self, texts: dict[str, list[str]]):
+    def __init__(self, texts: dict[str, list[str]], held: dict[str, list[str]] | None = None):
         self.langs = [x for x in LANGS if texts.get(x)]
         self.own = [KneserNey(_grams(_codes(np.frombuffer("\n".join(texts[x]).encode("utf-32-le", "surrogatepass"), "u4"))[0])) for x in self.langs]
         self.keys = np.unique(np.concatenate([m.grams[4][0] for m in self.own])) if self.own else np.zeros(1, "i4")
         self.logp = np.stack([np.log(m.prob(self.keys)) for m in self.own], 1).astype("f4") if self.own else np.zeros((1, 0), "f4")
-        self.worst = np.full(len(self.langs), np.inf)
+        self.worst, self.heat = np.full(len(self.langs), np.inf), 5.0
+        if held:
+            self.calibrate(held)
+
+    def calibrate(self, held: dict[str, list[str]]) -> None:
+        rows, truth = [], []
         for j, x in enumerate(self.langs):
-            s = self.scan(texts[x])
-            e = s["entropy"][(s["best"] == j) & (s["letters"] >= LETTERS)]
-            if len(e) > 20:
-                self.worst[j] = np.median(e) + 8 * (np.percentile(e, 90) - np.median(e) + 0.02)
+            s = self.scan(held.get(x) or [""])
+            ok = s["letters"] >= LETTERS
+            rows.append(np.concatenate([s["per"][ok], (s["margin"] * s["letters"])[ok, None], s["best"][ok, None]], 1))
+            truth.append(np.full(ok.sum(), j))
+        v, t = np.concatenate(rows), np.concatenate(truth)
+        k = len(self.langs)
+        own = [np.quantile(v[(t == j) & (v[:, -1] == j), j], 1 - REFUSED) if ((t == j) & (v[:, -1] == j)).sum() > 20 else np.inf for j in range(k)]
+        # The quick sentences of other languages that a mislabelled held-out text holds are no foreign ones: the best guess must agree.
+        far = [np.quantile(v[(t != j) & (v[:, -1] == t), j], REFUSED) - own[j] for j in range(k) if np.isfinite(own[j]) and ((t != j) & (v[:, -1] == t)).sum() > 20]
+        self.worst = np.array([o + max(0.0, 0.5 * min(far)) if far else o for o in own])
+        lead, right = v[:, -2], v[:, -1] == t
+        if len(lead):
+            heats = np.geomspace(2, 60, 18)
+            p = 1 / (1 + np.exp(-np.clip(lead[:, None] / heats, 0, 500)))
+            self.heat = float(heats[np.argmax(np.where(right[:, None], np.log(p), np.log1p(-np.minimum(p, 1 - 1e-12))).sum(0))])
+
+    def sure(self, nats: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.asarray(nats, "f8") / self.heat, 0, 500)))
 
     def scan(self, texts: list[str]) -> dict[str, np.ndarray]:
         """Of each sentence: text, start, end (in the joined texts), letters, best (index or -1), entropy, margin."""
@@ -166,25 +195,30 @@ class Models:
         best = np.where((letters >= LETTERS) & (k > 0), order[:, 0], -1)
         if k:
             best = np.where((best >= 0) & (entropy <= self.worst[np.maximum(best, 0)]), best, -1)
-        return {"text": owner, "start": start, "end": end, "letters": letters, "best": best, "entropy": entropy, "margin": margin, "cp": cp}
+        return {"text": owner, "start": start, "end": end, "letters": letters, "best": best, "entropy": entropy, "margin": margin, "per": per, "cp": cp}
 
 
 def fit(labelled: DataFrame) -> Models:
-    """Models from (text, lang) rows with clean labels; at most about SAMPLE texts of each language are drawn, by hash."""
+    """Models from (id, text, lang) rows with clean labels; about SAMPLE texts of each language are drawn, by id."""
     d = labelled.where(F.col("text").isNotNull() & F.col("lang").isin(*LANGS))
-    counts = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
-    share = F.lit(1)
-    for x, n in counts.items():
-        share = F.when(F.col("lang") == x, max(1, n // SAMPLE)).otherwise(share)
-    rows = d.where(F.pmod(F.xxhash64("text"), share) == 0).limit(2 * SAMPLE * len(LANGS)).toPandas()
+    rows = drawn(d, "id", ["text"], SAMPLE, F.col("lang")).toPandas().sort_values(["lang", "text"])
     texts = {x: rows.loc[rows["lang"] == x, "text"].to_list() for x in LANGS}
     first = Models(texts)
-    agreed = {}
-    for x in first.langs:
+    if not first.langs:
+        return first
+    # A model learns the mislabelled texts in its sample as well, since contexts of another script are theirs alone. How
+    # often each letter occurs tells them apart: they are few. So both speak when texts are weeded out.
+    codes = {x: [_codes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "u4"))[0] for t in texts[x]] for x in first.langs}
+    letters = np.stack([np.bincount(np.concatenate([c[c > 0] for c in codes[x]] or [np.zeros(0, "i4")]), minlength=BASE) + 0.5 for x in first.langs])
+    plain = -np.log(letters / letters.sum(1, keepdims=True))
+    agreed: dict[str, list[str]] = {}
+    for j, x in enumerate(first.langs):
         s = first.scan(texts[x])
-        wrong = set(s["text"][(s["best"] >= 0) & (s["best"] != first.langs.index(x))].tolist())
-        agreed[x] = [t for i, t in enumerate(texts[x]) if i not in wrong]
-    return Models(agreed)
+        weight = np.bincount(s["text"], s["letters"], minlength=len(texts[x]) + 1)[: len(texts[x])]
+        deep = np.stack([np.bincount(s["text"], s["per"][:, k] * s["letters"], minlength=len(texts[x]) + 1)[: len(texts[x])] for k in range(len(first.langs))], 1) / np.maximum(weight, 1)[:, None]
+        flat = np.stack([plain[:, c[c > 0]].mean(1) if (c > 0).any() else np.zeros(len(first.langs)) for c in codes[x]])
+        agreed[x] = [t for t, n, best in zip(texts[x], weight, (deep + flat).argmin(1)) if n < LETTERS or best == j]
+    return Models({x: [t for i, t in enumerate(v) if i % 5 or len(v) < 50] for x, v in agreed.items()}, {x: [t for i, t in enumerate(v) if i % 5 == 0] for x, v in agreed.items()})
 
 
 def found_languages(models: Models, texts: list[str]) -> list[list[tuple[str, float]]]:
@@ -199,7 +233,7 @@ def found_languages(models: Models, texts: list[str]) -> list[list[tuple[str, fl
             v[1] += m * n
     res = []
     for v in out:
-        res.append([(models.langs[b], 1 - float(np.exp(-w[1] / 5))) for b, w in sorted(v.items(), key=lambda kv: -kv[1][0])])
+        res.append([(models.langs[b], float(models.sure(w[1]))) for b, w in sorted(v.items(), key=lambda kv: -kv[1][0])])
     return res
 
 
@@ -222,7 +256,7 @@ def record_languages(df: DataFrame, id_col: str, text_col: str, label_col: str)
     null ids or texts, have no row. Without labelled rows there is no model and no row.
     """
     d = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), label_of(F.col(label_col)).alias("label")).where("id IS NOT NULL AND text IS NOT NULL")
-    shared = df.sparkSession.sparkContext.broadcast(fit(d.select("text", F.col("label").alias("lang"))))
+    shared = df.sparkSession.sparkContext.broadcast(fit(d.select("id", "text", F.col("label").alias("lang"))))
     return d.mapInPandas(_record_languages(shared), "id bigint, label string, lang string, confidence double, n_langs int").distinct()
 
 
@@ -234,7 +268,7 @@ def _segments(shared):
             begin = np.append(0, np.cumsum([len(t) + 1 for t in pdf["text"]]))
             ok = s["best"] >= 0
             t = s["text"][ok]
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[t], "start": (s["start"][ok] - begin[t]).astype("i4"), "end": (s["end"][ok] - begin[t]).astype("i4"), "lang": np.array([*m.langs, ""])[s["best"][ok]], "confidence": 1 - np.exp(-s["margin"][ok] * s["letters"][ok] / 5)})
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[t], "start": (s["start"][ok] - begin[t]).astype("i4"), "end": (s["end"][ok] - begin[t]).astype("i4"), "lang": np.array([*m.langs, ""])[s["best"][ok]], "confidence": m.sure(s["margin"][ok] * s["letters"][ok])})
 
     return run
 
@@ -242,7 +276,7 @@ def _segments(shared):
 def language_segments(df: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(id, start, end, lang, confidence) of every sentence that has a language; offsets in code points."""
     d = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), label_of(F.col(label_col)).alias("lang")).where("id IS NOT NULL AND text IS NOT NULL")
-    shared = df.sparkSession.sparkContext.broadcast(fit(d.select("text", "lang")))
+    shared = df.sparkSession.sparkContext.broadcast(fit(d.select("id", "text", "lang")))
     return d.select("id", "text").mapInPandas(_segments(shared), "id bigint, start int, end int, lang string, confidence double")
 
 
