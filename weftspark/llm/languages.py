@@ -206,18 +206,25 @@ def fit(labelled: DataFrame) -> Models:
     first = Models(texts)
     if not first.langs:
         return first
-    # A model learns the mislabelled texts in its sample as well, since contexts of another script are theirs alone. How
-    # often each letter occurs tells them apart: they are few. So both speak when texts are weeded out.
-    codes = {x: [_codes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "u4"))[0] for t in texts[x]] for x in first.langs}
-    letters = np.stack([np.bincount(np.concatenate([c[c > 0] for c in codes[x]] or [np.zeros(0, "i4")]), minlength=BASE) + 0.5 for x in first.langs])
+    # A model learns the sentences of other languages in its sample as well, since contexts of another script are theirs alone.
+    # How often each letter occurs tells them apart: they are few. So both speak when sentences are weeded out.
+    lines = {}
+    for x in first.langs:
+        s = first.scan(texts[x])
+        ok = s["letters"] >= LETTERS
+        lines[x] = [s["cp"][a:b].tobytes().decode("utf-32-le", "surrogatepass").strip() for a, b in zip(s["start"][ok], s["end"][ok])]
+    codes = {x: [_codes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "u4"))[0] for t in lines[x]] for x in first.langs}
+    letters = np.stack([np.bincount(np.concatenate([np.zeros(0, "i4"), *codes[x]]), minlength=BASE) + 0.5 for x in first.langs])
+    letters[:, 0] = 0.5  # blanks
     plain = -np.log(letters / letters.sum(1, keepdims=True))
     agreed: dict[str, list[str]] = {}
     for j, x in enumerate(first.langs):
-        s = first.scan(texts[x])
-        weight = np.bincount(s["text"], s["letters"], minlength=len(texts[x]) + 1)[: len(texts[x])]
-        deep = np.stack([np.bincount(s["text"], s["per"][:, k] * s["letters"], minlength=len(texts[x]) + 1)[: len(texts[x])] for k in range(len(first.langs))], 1) / np.maximum(weight, 1)[:, None]
-        flat = np.stack([plain[:, c[c > 0]].mean(1) if (c > 0).any() else np.zeros(len(first.langs)) for c in codes[x]])
-        agreed[x] = [t for t, n, best in zip(texts[x], weight, (deep + flat).argmin(1)) if n < LETTERS or best == j]
+        s = first.scan(lines[x])
+        n = len(lines[x])
+        weight = np.bincount(s["text"], s["letters"], minlength=n + 1)[:n]
+        deep = np.stack([np.bincount(s["text"], s["per"][:, k] * s["letters"], minlength=n + 1)[:n] for k in range(len(first.langs))], 1) / np.maximum(weight, 1)[:, None]
+        flat = np.stack([plain[:, c[c > 0]].mean(1) for c in codes[x]]) if n else deep
+        agreed[x] = [t for t, best in zip(lines[x], (deep + flat).argmin(1)) if best == j]
     return Models({x: [t for i, t in enumerate(v) if i % 5 or len(v) < 50] for x, v in agreed.items()}, {x: [t for i, t in enumerate(v) if i % 5 == 0] for x, v in agreed.items()})
 
 
