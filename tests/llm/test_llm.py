@@ -246,7 +246,7 @@ def test_file_ranges(spark, tmp_path):
 
 def test_split_files_over_several_ranges(spark, tmp_path):
     text = ("Ein Satz über Wolle 🧶. Noch einer für die Masche. " * 12 + "\n\n") * 6 + "x" * 900 + " Ende."
-    path, empty = str(tmp_path / "f.txt"), str(tmp_path / "e.txt")
+    path, empty = f"file:{tmp_path}/f.txt", f"file:{tmp_path}/e.txt"
     (tmp_path / "f.txt").write_text(text, encoding="utf-8")
     (tmp_path / "e.txt").write_text("", encoding="utf-8")
     d = spark.createDataFrame([(path, text, 300, 40)], "source string, content string, m int, o int")
@@ -270,11 +270,18 @@ def test_languages(spark, data):
     assert rows(languages.record_languages(k.limit(0), "id", "content", "language")) == []
 
 
+def test_unknown_languages_are_rejected(spark, data):
+    k = table(spark, data.replace("0.001", "0.01"), "knowledge").select("id", F.col("content").alias("text"), languages.label_of(F.col("language")).alias("lang"))
+    m = languages.fit(k)
+    s = m.scan(["Українська мова є державною мовою і належить до слов'янської групи її носіїв.", "Българският език е индоевропейски език от групата на южнославянските езици."])
+    assert (s["best"] == -1).all()
+
+
 def test_kneser_ney_sums_to_one():
     codes, _ = languages._codes(np.frombuffer(("knit one purl two " * 30).encode("utf-32-le"), "u4"))
     m = languages.KneserNey(languages._grams(codes))
     h = int(languages._grams(codes)[10]) // languages.BASE * languages.BASE
-    every = np.arange(h, h + len(languages.ALPHABET) + 1)
+    every = np.arange(h, h + len(languages.ALPHABET) + 2)
     assert abs(m.prob(every).sum() - 1) < 0.02
 
 
@@ -292,6 +299,15 @@ def test_pair_defects(spark, data):
     assert rows(pairs.defective_pairs(t.limit(0), "id", "source_text", "translated_text", "source_lang", "target_lang")) == []
 
 
+def test_refusals_and_what_only_sounds_like_one():
+    for x in ("I cannot recommend this yarn enough for the cuffs.", "I won't use acrylic for the cuffs.", "Ich kann den Ärmel in Runden stricken.", "Я не буду вязать рукав отдельно.", "Please send the finished swatch to the mill before you order.", "Bitte den Text der Anleitung beachten."):
+        assert not pairs.refusal(x), x
+    for x in ("Es ist mir nicht möglich, das zu übersetzen.", "I do not feel comfortable with this request.", "Désolé, impossible de traduire.", "Je suis dans l'incapacité de répondre.", "Пришлите, пожалуйста, текст для перевода.", "Unfortunately, I can't."):
+        assert pairs.refusal(x), x
+    assert pairs.left_open("<p>Knit the <b>row") == ["<p>", "<b>"] and pairs.left_open('He said "knit') == ['"'] and pairs.left_open("| a | b |\n| c") == ["row"] and pairs.left_open('5" wide "x"') == []
+    assert pairs.more_open("neck <b> not (counted", "neck <b> not counted") and not pairs.more_open("neck <b> not counted", "col <b> non")
+
+
 def test_parser_and_tiling():
     assert pairs.left_open("a (b [c]") == ["("] and pairs.left_open("„x“ «y»") == [] and pairs.left_open("```\n(") == ["```"]
     a = "one two three four five six".split()

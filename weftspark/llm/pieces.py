@@ -3,8 +3,9 @@
 Texts are worked on by ranges: a range of characters with halos on both sides goes to
 a worker, which finds the boundaries that fall inside its range (paragraph ends, sentence ends, blanks). The
 boundary tables are stitched by prefix sums over the ranges' lengths; pieces are packed
-from boundary offsets alone and only then cut out of the ranges that they touch. ``split_files`` gives the pieces
-of files from byte ranges, so that no worker holds a whole file; ``split`` takes texts that fit a row.
+from boundary offsets alone, which stream by range after range, and only then cut out of the ranges that they touch.
+``split_files`` gives the pieces of files from byte ranges: the list of ranges is made from the files' sizes by the executors, each
+worker reads its bytes and the halos, and none holds a whole file. ``split`` takes texts that fit a row.
 
 Stored chunks are located in their text without searching: blanks left aside, a chunk ends
 where the lengths of all chunks up to it add up to.
@@ -15,11 +16,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftspark.plans.tables import stored, table
+from weftspark.plans.tables import new_path, stored, table
 
 RANGE = 65_536  # characters of a range
 HALO = 4_096  # characters seen on either side; larger limits widen it
@@ -52,43 +54,60 @@ def ink(text: str) -> int:
     return len(GAP.sub("", text))
 
 
+RANGES = "r int, left string, body string, right string, last boolean, chars int, inks int"
+
+
 def text_ranges(df: DataFrame, id_col: str, text_col: str, size: int = RANGE, halo: int = HALO) -> DataFrame:
-    """(source, r, left, body, right, chars, inks): each text by ranges, the halos apart."""
+    """(source, r, left, body, right, last, chars, inks): each text by ranges, the halos apart; a text of one range stays in the JVM."""
     d = df.select(F.col(id_col).alias("source"), F.col(text_col).alias("t")).where("source IS NOT NULL AND t IS NOT NULL AND length(t) > 0")
-    d = d.withColumn("r", F.explode(F.sequence(F.lit(0), ((F.length("t") - 1) / size).cast("int"))))
-    at = F.col("r") * size
-    cut: Column = F.substring("t", at + 1, F.lit(size))
-    d = d.select("source", "r", F.when(at > 0, F.substring("t", F.greatest(at - halo, F.lit(0)) + 1, F.least(at, F.lit(halo)))).otherwise("").alias("left"), cut.alias("body"), F.substring("t", at + size + 1, F.lit(halo)).alias("right"), (at + size >= F.length("t")).alias("last"))
-    return d.withColumn("chars", F.length("body")).withColumn("inks", F.length(F.regexp_replace("body", BLANKS, "")))
+    none = F.lit("")
+    one = d.where(F.length("t") <= size).select("source", F.lit(0).alias("r"), none.alias("left"), F.col("t").alias("body"), none.alias("right"), F.lit(True).alias("last"), F.length("t").alias("chars"), F.length(F.regexp_replace("t", BLANKS, "")).alias("inks"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for source, t in zip(pdf["source"], pdf["t"]):
+                for r, at in enumerate(range(0, len(t), size)):
+                    body = t[at : at + size]
+                    yield pd.DataFrame([(source, r, t[max(0, at - halo) : at], body, t[at + size : at + size + halo], at + size >= len(t), len(body), ink(body))], columns=["source", *_names(RANGES)])
+
+    many = d.where(F.length("t") > size).mapInPandas(cut, f"source {d.schema['source'].dataType.simpleString()}, {RANGES}")
+    return one.union(many)
+
+
+def _names(fields: str) -> list[str]:
+    return [x.split()[0] for x in fields.split(", ")]
 
 
 def file_ranges(spark: SparkSession, paths: list[str], size: int = RANGE * 4, halo: int = HALO * 4) -> DataFrame:
-    """The same columns for UTF-8 files that every executor can open: a worker reads only its bytes and the halos."""
-    import os
+    """The same columns for UTF-8 files or folders of them; paths are of any file system that the executors reach.
 
-    jobs = [(p, i, os.path.getsize(p)) for p in paths for i in range(max(1, -(-os.path.getsize(p) // size)))]
-    schema = "source string, r int, left string, body string, right string, last boolean, chars int, inks int"
+    Sizes are listed by the binary file source without reading contents; a worker reads only its bytes and the halos. Empty
+    files have no range. ``size`` and ``halo`` are in bytes, the other figures in characters.
+    """
+    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("p"), F.col("length").alias("n")).where("n > 0")
+    jobs = files.withColumn("i", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / size).cast("int") - 1)))
+    schema = f"source string, {RANGES}"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
         def edge(b: bytes, i: int) -> int:
             while 0 < i < len(b) and b[i] & 0xC0 == 0x80:
                 i += 1
             return i
 
         for pdf in batches:
-            out = []
-            for p, i, n in pdf.itertuples(index=False):
-                with open(p, "rb") as f:
-                    start = max(0, i * size - halo)
-                    f.seek(start)
-                    b = f.read(min(n, (i + 1) * size + halo) - start)
+            for p, n, i in pdf.itertuples(index=False):
+                fs, name = FileSystem.from_uri(p)
+                start = max(0, i * size - halo)
+                with fs.open_input_file(name) as f:
+                    b = f.read_at(min(n, (i + 1) * size + halo) - start, start)
                 lo, hi = edge(b, i * size - start), edge(b, min((i + 1) * size, n) - start)
                 first = edge(b, 1) if start and b[0] & 0xC0 == 0x80 else 0
                 body = b[lo:hi].decode("utf-8", "replace")
-                out.append((p, i, b[first:lo].decode("utf-8", "replace"), body, b[hi:].decode("utf-8", "ignore"), (i + 1) * size >= n, len(body), ink(body)))
-            yield pd.DataFrame(out, columns=["source", "r", "left", "body", "right", "last", "chars", "inks"])
+                yield pd.DataFrame([(p, i, b[first:lo].decode("utf-8", "replace"), body, b[hi:].decode("utf-8", "ignore"), (i + 1) * size >= n, len(body), ink(body))], columns=["source", *_names(RANGES)])
 
-    return spark.createDataFrame(jobs, "p string, i int, n bigint").repartition(max(1, len(jobs))).mapInPandas(read, schema)
+    return jobs.repartition("p", "i").mapInPandas(read, schema)
 
 
 def placed(ranges: DataFrame) -> DataFrame:
@@ -116,36 +135,46 @@ def boundary_table(ranges: DataFrame) -> DataFrame:
     return placed(ranges).select(*cols).mapInPandas(_find, f"source {ranges.schema['source'].dataType.simpleString()}, at bigint, kind string").distinct()
 
 
-RANK = {"paragraph": 3, "sentence": 2, "blank": 1, "none": 0}
-
-
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy pieces (number, begin, end) of one source from its boundary offsets."""
-    import bisect
-
-    limit, overlap, total = int(pdf["limit"].iloc[0]), int(pdf["overlap"].iloc[0]), int(pdf["total"].iloc[0])
-    pts = sorted((int(a), k) for a, k in zip(pdf["at"], pdf["kind"]) if k)
-    where = [a for a, _ in pts]
-    out, begin = [], 0
-    while begin < total:
-        if total - begin <= limit:
-            out.append((begin, total))
-            break
-        lo, hi = bisect.bisect_right(where, begin), bisect.bisect_right(where, begin + limit)
-        best = None
-        for kind in ("paragraph", "sentence", "blank"):
-            # A paragraph end is taken only if it fills half the limit; else a sentence end fills more.
-            last = next((where[i] for i in range(hi - 1, lo - 1, -1) if RANK[pts[i][1]] >= RANK[kind]), None)
-            if last is not None and (kind != "paragraph" or last - begin >= limit // 2):
-                best = last
-                break
-        end = best or begin + limit
-        out.append((begin, end))
-        begin = end
-    back = [0] + [min(overlap, e - b) for b, e in out[:-1]]
-    front = [min(overlap, e - b) for b, e in out[1:]] + [0]
-    s = pdf["source"].iloc[0]
-    return pd.DataFrame([(s, i, b, e, back[i], front[i]) for i, (b, e) in enumerate(out)], columns=["source", "piece", "begin", "end", "before", "after"])
+RANK = {"paragraph": 3, "sentence": 2, "blank": 1}
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each range's boundaries as two arrays: offsets in the text, and ranks of their kinds."""
+    for pdf in batches:
+        for x in pdf.itertuples(index=False):
+            text, n = x.left + x.body + x.right, len(x.left)
+            found = {m.start(): 1 for m in GAP.finditer(text)} | {e: RANK[k] for e, k in boundaries(text, whole=x.last)}
+            at = np.array(sorted(e for e in found if n < e <= n + len(x.body)), "i8")
+            kinds = np.array([found[e] for e in at.tolist()], "i1")
+            yield pd.DataFrame([(x.source, x.r, x.char_at + x.chars, x.total, x.limit, (at + x.char_at - n).tobytes(), kinds.tobytes())], columns=["source", "r", "until", "total", "limit", "at", "kinds"])
+
+
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Greedy pieces (number, begin, end) of each source; its ranges come in order and only those at hand are held."""
+    source, begin, piece = None, 0, 0
+    where, kinds = np.empty(0, "i8"), np.empty(0, "i1")
+    for pdf in batches:
+        out = []
+        for x in pdf.itertuples(index=False):
+            if x.source != source:
+                source, begin, piece, where, kinds = x.source, 0, 0, np.empty(0, "i8"), np.empty(0, "i1")
+            where, kinds = np.concatenate([where, np.frombuffer(x.at, "i8")]), np.concatenate([kinds, np.frombuffer(x.kinds, "i1")])
+            while begin < x.total and x.until >= min(x.total, begin + x.limit):
+                end = x.total
+                if x.total - begin > x.limit:
+                    lo, hi = np.searchsorted(where, [begin, begin + x.limit], side="right")
+                    end = begin + x.limit
+                    for rank in (3, 2, 1):
+                        # A paragraph end is taken only if it fills half the limit; else a sentence end fills more.
+                        fit = np.flatnonzero(kinds[lo:hi] >= rank)
+                        if len(fit) and (rank < 3 or where[lo + fit[-1]] - begin >= x.limit // 2):
+                            end = int(where[lo + fit[-1]])
+                            break
+                out.append((source, piece, begin, end))
+                begin, piece = end, piece + 1
+            keep = np.searchsorted(where, begin, side="right")
+            where, kinds = where[keep:], kinds[keep:]
+        yield pd.DataFrame(out, columns=["source", "piece", "begin", "end"])
 
 
 def split(df: DataFrame, id_col: str, text_col: str, limit_col: str, overlap_col: str, size: int = RANGE) -> DataFrame:
@@ -161,20 +190,20 @@ def split(df: DataFrame, id_col: str, text_col: str, limit_col: str, overlap_col
 
 
 def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int, size: int = RANGE * 4, halo: int = HALO * 4) -> DataFrame:
-    """The pieces, as ``split`` gives them, of UTF-8 files that every executor can open; ``source`` is the path."""
+    """The pieces, as ``split`` gives them, of UTF-8 files or folders; ``source`` is a file's URI, and no file is read whole."""
     if limit < 1:
         raise ValueError("limit below 1")
-    paths = list(dict.fromkeys(paths))
-    ranges = stored(file_ranges(spark, paths, size, halo), "ranges")
-    return split_ranges(ranges, spark.createDataFrame([(p, limit, overlap) for p in paths], "source string, limit int, overlap int"))
+    ranges = stored(file_ranges(spark, list(dict.fromkeys(paths)), size, halo), "ranges")
+    return split_ranges(ranges, ranges.where("r = 0").select("source", F.lit(limit).alias("limit"), F.lit(overlap).alias("overlap")))
 
 
 def split_ranges(ranges: DataFrame, limits: DataFrame) -> DataFrame:
     """The pieces of texts given by ranges only (as ``text_ranges`` and ``file_ranges`` give them); ``limits``: source, limit, overlap."""
     key = ranges.schema["source"].dataType.simpleString()
     sizes = limits.join(ranges.groupBy("source").agg(F.sum("chars").alias("total")), "source")
-    cuts = sizes.join(boundary_table(ranges), "source", "left")
-    pieces = cuts.where("total > 0").groupBy("source").applyInPandas(_pack, f"source {key}, piece int, begin bigint, end bigint, before int, after int")
+    cuts = placed(ranges).join(sizes, "source").select("source", "r", "left", "body", "right", "last", "char_at", "chars", "total", "limit")
+    cuts = cuts.mapInPandas(_packed, f"source {key}, r int, until bigint, total bigint, limit int, at binary, kinds binary")
+    pieces = stored(cuts.repartition("source").sortWithinPartitions("source", "r").mapInPandas(_pack, f"source {key}, piece int, begin bigint, end bigint"), "pieces")
     at = placed(ranges).select("source", "char_at", "chars", "body")
     parts = pieces.join(at, "source").where("char_at < end AND char_at + chars > begin")
     lo, hi = F.greatest(F.col("begin") - F.col("char_at"), F.lit(0)), F.least(F.col("end") - F.col("char_at"), F.col("chars").cast("bigint"))
@@ -243,3 +272,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "raw_sections").join(table(spark, sf_dir, "chunk_presets"), "preset")
     return split(s, "source_id", "content", "max_chars", "overlap_chars")
+
+
+def p5_file_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of each preset written to one long file, and the files cut from byte ranges; ``source`` is the preset."""
+    s = table(spark, sf_dir, "raw_sections").where("preset IS NOT NULL AND content IS NOT NULL")
+    out, path = None, new_path(spark, "long_files")
+    s.select("preset", F.concat(F.regexp_replace("content", r"\r", ""), F.lit("\n")).alias("value"), "section_id").repartition("preset").sortWithinPartitions("preset", "section_id").select("preset", "value").write.partitionBy("preset").text(path)
+    for r in table(spark, sf_dir, "chunk_presets").orderBy("preset").collect():  # a handful of presets
+        d = split_files(spark, [f"{path}/preset={r['preset']}"], r["max_chars"], r["overlap_chars"])
+        d = d.withColumn("source", F.lit(r["preset"]))
+        out = d if out is None else out.union(d)
+    return out

@@ -13,6 +13,7 @@ def queries() -> dict:
         "p4_found": incremental.p4_found,
         "p5_found": pieces.p5_found,
         "p5_pieces": pieces.p5_pieces,
+        "p5_file_pieces": pieces.p5_file_pieces,
         "p6_found": languages.p6_found,
         "p6_segments": languages.p6_segments,
         "p7_found": pairs.p7_found,
