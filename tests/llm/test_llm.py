@@ -186,9 +186,9 @@ def test_batches_edge_cases(spark):
 
 def test_lookalikes(spark):
     base = "нить Кедуто, 2 вм. лиц."
-    texts = {1: base, 2: base.replace("о", "o"), 3: base.replace(" ", " "), 4: "﻿" + base + "  ", 5: base.upper(), 6: base.replace("2", "２"), 7: base.replace("-", " ") + "!", 8: None, 9: "", 10: "​", 11: "café", 12: "café", 13: "cafe", 14: "й", 15: "й", 16: "ёж", 17: "еж", 18: base, 19: "ﬁl", 20: "fil", 21: "x" * 5000, 22: "х" * 5000}
+    texts = {1: base, 2: base.replace("о", "o"), 3: base.replace(" ", " "), 4: "﻿" + base + "  ", 5: base.upper(), 6: base.replace("2", "２"), 7: base.replace("-", " ") + "!", 8: None, 9: "", 10: "​", 11: "café", 12: "café", 13: "cafe", 14: "й", 15: "й", 16: "ёж", 17: "еж", 18: base, 19: "ﬁl", 20: "fil", 23: "ɡɑuɡe", 24: "gauge", 25: "Ⅷ", 26: "VIII", 21: "x" * 5000, 22: "х" * 5000}
     d = spark.createDataFrame([(i, t, "r", "f") for i, t in texts.items()] + [(1, base, "r", "f"), (None, base, "r", "f")], "entry_id int, ru string, raw string, form string")
-    same = [[1, 2, 3, 4, 6, 18], [11, 12], [14, 15], [19, 20], [21, 22]]
+    same = [[1, 2, 3, 4, 6, 18], [11, 12], [14, 15], [19, 20], [21, 22], [23, 24], [25, 26]]
     want = sorted({(a, b) for g in same for a in g for b in g if a < b and texts[a] != texts[b]}, key=repr)
     assert rows(lookalike.look_same(d, "entry_id", "ru")) == want
     assert rows(lookalike.look_same(d.limit(0), "entry_id", "ru")) == []
@@ -335,21 +335,21 @@ def test_phrase_leaks(spark):
 def test_mix(spark, data):
     data = data.replace("0.001", "0.01")
     docs, targets = table(spark, data, "documents"), table(spark, data, "mix_targets")
-    chosen, shares = mixing.mix(docs.withColumn("tokens", F.lit(0)), targets)
+    chosen, shares = mixing.mix(docs.withColumn("tokens", F.lit(0)), targets, mixing.TOKENIZER)
     cap = {r["source"]: r["max_repeats"] for r in targets.collect()}
     c = chosen.toPandas()
     assert (c["copies"] >= 1).all() and all(n <= cap[s] for s, n in zip(c["source"], c["copies"])) and c["doc_id"].is_unique
     s = shares.toPandas().set_index("source")
     live = s[s["tokens"] > 0]
     assert ((live["actual_share"] - live["target_share"] / live["target_share"].sum()).abs() < 0.01).all() and set(s.index) == set(cap)
-    empty, none = mixing.mix(docs.limit(0), targets)
+    empty, none = mixing.mix(docs.limit(0), targets, mixing.TOKENIZER)
     assert rows(empty) == [] and {r["actual_share"] for r in none.collect()} == {0.0}
 
 
 def test_mix_large_sample_is_close(spark):
     d = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("yarn"), (F.col("id") % 17 + 3).cast("int"))).alias("text"), F.when(F.col("id") % 3 == 0, "A-b ").when(F.col("id") % 3 == 1, "c").otherwise("unasked").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("section_type"))
     t = spark.createDataFrame([("a_b", 0.75, 2), ("c", 0.25, 1)], "source string, target_share double, max_repeats int")
-    shares = {r["source"]: r for r in mixing.mix(d, t)[1].collect()}
+    shares = {r["source"]: r for r in mixing.mix(d, t, mixing.TOKENIZER)[1].collect()}
     assert abs(shares["a_b"]["actual_share"] - 0.75) < 0.005 and shares["a_b"]["uses"] == 2 * shares["a_b"]["records"]
 
 

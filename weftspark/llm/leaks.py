@@ -48,13 +48,12 @@ def phrase_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     anchors = stored(seen.where((F.col("size") == run) & (F.col("least.n") > 0)).select("item", F.col("least.ipos").alias("ipos"), F.col("least.term").alias("term")).distinct(), "anchors")
     cand = posts.join(_few(anchors, anchors.count()), "term").select("doc", "item", (F.col("pos") - F.col("ipos")).alias("off")).distinct()
     cand = stored(cand, "alignments")
-    terms = q.select("item", "ipos", "term")
-    near = cand.join(posts, "doc")
+    # Each alignment asks for the passage's words at their places, so that it meets these postings and no others of its document.
+    asked = cand.join(q, "item").withColumn("at", F.col("off") + F.col("ipos"))
     if slop:
-        hit = near.join(terms, ["item", "term"]).where(F.abs(F.col("pos") - F.col("off") - F.col("ipos")) <= slop)
-    else:
-        hit = near.withColumn("ipos", F.col("pos") - F.col("off")).join(terms, ["item", "ipos", "term"])
-    hit = hit.select("doc", "item", "off", "ipos").distinct()
+        asked = asked.withColumn("at", F.explode(F.sequence(F.col("at") - slop, F.col("at") + slop)))
+    asked = stored(asked.select("doc", "item", "off", "ipos", F.col("at").alias("pos"), "term"), "asked")
+    hit = posts.join(_few(asked, asked.count()), ["doc", "pos", "term"]).select("doc", "item", "off", "ipos").distinct()
     isle = F.col("ipos") - F.row_number().over(Window.partitionBy("doc", "item", "off").orderBy("ipos"))
     runs = hit.withColumn("isle", isle).groupBy("doc", "item", "off", "isle").count().where(F.col("count") >= run)
     return runs.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max("count").alias("longest"))

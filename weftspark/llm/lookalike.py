@@ -23,7 +23,9 @@ from weftspark.plans.tables import stored, table
 # Letters of other scripts and the Latin letters that they look like.
 LOOK = dict(zip("авекмнорстухіјѕһԁԛԝаАВЕКМНОРСТУХІЈЅԌԚԜ", "aвeкмнopcтyxijshdqwaABEKMHOPCTYXIJSGQW"))
 LOOK |= dict(zip("ονρϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ovpcjABEZHIKMNOPTYXC"))
-LOOK |= {"‐": "-", "‑": "-"}
+LOOK |= dict(zip("ɡɑᴏᴠᴡꜱᴢᴄυօոսհցՕՍ", "gaovwszcuonuhgOU"))
+LOOK |= dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"))
+LOOK |= {"‐": "-", "‑": "-", "⁃": "-", "˗": "-"}
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 LOOK = {k: v for k, v in LOOK.items() if k != v}
 SAME: dict[str, str] = {}
@@ -36,10 +38,14 @@ def ignorable(c: str) -> bool:
     return unicodedata.category(c) in ("Cf", "Cc") and not c.isspace() or c in "͏ᅟᅠ឴឵ㅤﾠ" or "︀" <= c <= "️"
 
 
+def folded(c: str) -> str:
+    """Ligatures, width forms, letters in mathematical styles and Roman numerals as the letters that one sees."""
+    return LIGATURES.get(c) or (unicodedata.normalize("NFKC", c) if "＀" <= c <= "￯" or "Ⅰ" <= c <= "ⅿ" or "\U0001d400" <= c <= "\U0001d7ff" else c)
+
+
 def opened(token: str) -> str:
-    """The token without ignorables, width forms and ligatures folded, accents apart."""
-    out = "".join(LIGATURES.get(c) or (unicodedata.normalize("NFKC", c) if "＀" <= c <= "￯" else c) for c in token if not ignorable(c))
-    return unicodedata.normalize("NFD", out)
+    """The token without ignorables, folded, accents apart."""
+    return unicodedata.normalize("NFD", "".join(folded(c) for c in token if not ignorable(c)))
 
 
 def tokens(text: str) -> list[str]:
@@ -75,8 +81,7 @@ class Trie:
 
     def near(self, token: str, budget: int = 0) -> dict[str, int]:
         """Vocabulary words within ``budget`` paid edits of ``token``, with their costs."""
-        chars = [LIGATURES.get(c) or (unicodedata.normalize("NFKC", c) if "＀" <= c <= "￯" else c) for c in token]
-        text = unicodedata.normalize("NFD", "".join("" if ignorable(c) else f for c, f in zip(token, chars)))
+        text = opened(token)
         found: dict[str, int] = {}
         todo, seen = [(self.root, 0, 0)], {}
         while todo:

@@ -25,29 +25,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftspark.llm.sampling import drawn
 from weftspark.plans.tables import stored, table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: the published splitting pattern of this vocabulary.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: the published splitting expression of this vocabulary.
+SPLITTER = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SAMPLE = 400  # labelled documents of each source that the classifier is fitted on
 STRATUM = 20_000  # documents of a salted stratum
 
 
 @lru_cache(2)
-def _encoding(path: str):
+def _encoding(ranks: bytes):
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=SPLITTER, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, text: str, out: str = "tokens", tokenizer: str = TOKENIZER) -> DataFrame:
+def vocabulary(spark: SparkSession, path: str):
+    """A vocabulary file (base64 token, rank) read on the driver and broadcast, about a megabyte: executors need no copy of it."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def token_counts(df: DataFrame, text: str, tokenizer: str, out: str = "tokens") -> DataFrame:
     """``df`` with the number of tokens of ``text``; null counts 0."""
+    ranks = vocabulary(df.sparkSession, tokenizer)
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        enc = _encoding(tokenizer)
+        enc = _encoding(ranks.value)
         return pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int32")
 
     return df.withColumn(out, count(F.col(text)))
@@ -86,7 +93,7 @@ class Domains:
         return e / e.sum()
 
 
-def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", section: str = "section_type", total_tokens: float | None = None, tokenizer: str = TOKENIZER, min_posterior: float = 0.8, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", section: str = "section_type", total_tokens: float | None = None, min_posterior: float = 0.0, rounds: int = 200) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares).
 
     chosen: doc_id, source, copies (1 to the source's max_repeats), tokens. shares: a row for each
@@ -94,23 +101,23 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
 
     Without ``total_tokens`` the mixture is the largest in which every source that has text can give
     its share. A target without text gets 0 and the rest keep their proportions.
-    Documents of sources that are no target, of null id or with empty text are not chosen; unlabelled
-    ones only where a source's posterior reaches ``min_posterior``; a repeated id counts once.
+    Documents of sources that are no target, of null id or with empty text are not chosen; unlabelled ones belong to all sources
+    by their posteriors (in hundredths), to none if the largest is below ``min_posterior``; a repeated id counts once.
+    The fit ends when every source is within a millionth of the total of its target, or when a round brings no more.
     """
     spark = docs.sparkSession
     t = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats >= 1").groupBy(folded(F.col("source")).alias("s")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").cast("double").alias("cap"))
-    goal = {r["s"]: (r["share"], r["cap"]) for r in t.orderBy("s").limit(100_000).collect()}
+    goal = {r["s"]: (r["share"], r["cap"]) for r in t.orderBy("s").collect()}
     names = sorted(goal)
     d = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), folded(F.col(source)).alias("s"), F.col(lang).alias("lang"), F.col(section).alias("section")).where("doc IS NOT NULL AND text <> ''")
     d = d.withColumn("known", F.coalesce(F.col("s") != "", F.lit(False)))
     labelled = d.where(F.col("s").isin(names)) if names else d.limit(0)
-    per = {r["s"]: r["count"] for r in labelled.groupBy("s").count().collect()}
-    keep = F.create_map(*[F.lit(x) for k, n in per.items() for x in (k, max(1, n // SAMPLE))])[F.col("s")] if per else F.lit(1)
-    sample = labelled.where(F.pmod(F.xxhash64("doc"), keep) == 0).select("s", "text", "lang", "section").limit(3 * SAMPLE * max(1, len(per))).toPandas()
+    sample = drawn(labelled.select("doc", "s", "text", "lang", "section"), "doc", ["text"], SAMPLE, F.col("s")).toPandas().sort_values(["s", "text"])
+    ranks = vocabulary(spark, tokenizer)
     shared = spark.sparkContext.broadcast(Domains(list(sample.itertuples(index=False, name=None))) if len(sample) else None)
 
     def member(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, model = _encoding(tokenizer), shared.value
+        enc, model = _encoding(ranks.value), shared.value
         for pdf in batches:
             out = []
             for doc, txt, s, la, sec, known in pdf.itertuples(index=False):
@@ -120,7 +127,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
                     post = model.posterior(txt, la, sec) if model else np.zeros(0)
                     if not len(post) or post.max() < min_posterior:
                         continue
-                    at = np.flatnonzero(post >= 0.05)
+                    at = np.flatnonzero(post >= 0.005)
                     p = np.round(post[at] / post[at].sum(), 2).tolist()
                     names_ = [model.names[i] for i in at]
                 out.append((doc, names_, p, len(enc.encode_ordinary(txt)), names_[int(np.argmax(p))]))
@@ -146,13 +153,15 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
         return F.least(F.greatest(dot, F.lit(0.0)), cap[F.col("source")])
 
     fitted: dict[str, float] = {}
+    before = math.inf
     for _ in range(rounds if live else 0):
         now = profiles.select((F.col("tokens") * rate()).alias("x"), "tokens", F.explode(F.map_from_arrays("names", "p")).alias("s", "p")).groupBy("s").agg(F.sum(F.col("x") * F.col("p")).alias("have"), F.sum(F.col("tokens") * F.col("p") * F.col("p")).alias("curve"))
         got = {r["s"]: (r["have"], r["curve"]) for r in now.collect()}
         fitted = {n: got[n][0] for n in live}
         miss = max(abs(fitted[n] - want[n]) for n in live)
-        if miss <= 1e-6 * total:
+        if miss <= 1e-6 * total or miss >= before * 0.999:
             break
+        before = miss
         for n in live:
             lam[n] -= (fitted[n] - want[n]) / got[n][1]
     chosen = members.withColumn("rate", rate() if live else F.lit(0.0))
@@ -172,9 +181,12 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     return chosen, shares
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # the registered queries' parameter
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), TOKENIZER)[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), TOKENIZER)[1]
