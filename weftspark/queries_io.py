@@ -12,18 +12,10 @@ from weftspark.sources import interop
 from weftspark.streaming import intake
 
 
-@query("q_term_hits", r"SELECT term, count(*) AS hits, count(DISTINCT id) AS texts FROM (SELECT id, unnest(regexp_extract_all(lower(source_text), '[\p{L}\p{N}]+')) AS w FROM translations) t JOIN (SELECT DISTINCT unnest(keywords) AS term FROM knowledge) k ON t.w = k.term WHERE regexp_full_match(term, '[\p{L}\p{N}]+') AND term = lower(term) GROUP BY term")
-def g01(spark: SparkSession, sf: str) -> DataFrame:
-    k = table(spark, sf, "knowledge").select(F.explode("keywords").alias("term")).distinct().where(F.col("term").rlike(r"^[\p{L}\p{N}]+$") & (F.col("term") == F.lower("term")))
-    t = table(spark, sf, "translations").select("id", F.col("source_text").alias("text"))
-    hits = terms.term_hits(t, k.select(F.col("term").alias("term_id"), "term"))
-    return hits.groupBy(F.col("term_id").alias("term")).agg(F.count("*").alias("hits"), F.count_distinct("id").alias("texts"))
-
-
-@query("q_near_spellings", "SELECT w.word, t.term FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(title), '[a-z]+')) AS word FROM documents) w, (SELECT DISTINCT unnest(regexp_extract_all(lower(en), '[a-z]+')) AS term FROM glossary) t WHERE length(word) >= 3 AND length(term) >= 3 AND abs(length(word) - length(term)) <= 1 AND levenshtein(word, term) <= 1")
+@query("q_near_spellings", r"SELECT w.word, t.term FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(title), '[\p{L}]+')) AS word FROM documents) w, (SELECT DISTINCT unnest(regexp_extract_all(lower(en), '[\p{L}]+')) AS term FROM glossary) t WHERE length(word) >= 3 AND length(term) >= 3 AND abs(length(word) - length(term)) <= 1 AND (word = term OR list_has_any(list_append(list_transform(range(1, length(word) + 1), lambda i: word[:i - 1] || word[i + 1:]), word), list_append(list_transform(range(1, length(term) + 1), lambda i: term[:i - 1] || term[i + 1:]), term)))")
 def g02(spark: SparkSession, sf: str) -> DataFrame:
-    ascii_ = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
-    return terms.near_spellings(table(spark, sf, "documents").select(ascii_("title").alias("word")), table(spark, sf, "glossary").select(ascii_("en").alias("term")))
+    w = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}]+"), F.lit(0)))
+    return terms.near_spellings(table(spark, sf, "documents").select(w("title").alias("word")), table(spark, sf, "glossary").select(w("en").alias("term")))
 
 
 @query("q_greedy_chunks")

@@ -165,15 +165,6 @@ def m05(spark: SparkSession, sf: str) -> DataFrame:
     return M.term_suggestions(table(spark, sf, "translations"), 1)
 
 
-@query("q_protected_missing", "SELECT DISTINCT t.id, p.token FROM translations t, (SELECT DISTINCT unnest(protected_tokens) AS token FROM glossary) p WHERE contains(t.source_text, p.token) AND NOT contains(coalesce(t.translated_text, ''), p.token)")
-def v09(spark: SparkSession, sf: str) -> DataFrame:
-    """Protected tokens of the source that the answer lacks: one pass over each text with the token list, no pairs."""
-    tokens = [r[0] for r in table(spark, sf, "glossary").select(F.explode("protected_tokens").alias("token")).distinct().orderBy("token").limit(10_000).collect()]
-    t = table(spark, sf, "translations").where("source_text IS NOT NULL").select("id", "source_text", F.coalesce("translated_text", F.lit("")).alias("answer"))
-    lacking = F.filter(F.array(*[F.lit(x) for x in tokens]).cast("array<string>"), lambda x: F.contains("source_text", x) & ~F.contains("answer", x))
-    return t.select("id", F.explode(lacking).alias("token")).distinct()
-
-
 @query("q_newline_check", "SELECT id, len(source_text) - len(replace(source_text, chr(10), '')) AS source_lines, len(translated_text) - len(replace(translated_text, chr(10), '')) AS answer_lines FROM translations WHERE len(source_text) - len(replace(source_text, chr(10), '')) <> len(translated_text) - len(replace(translated_text, chr(10), ''))")
 def v07(spark: SparkSession, sf: str) -> DataFrame:
     lines = lambda c: (F.length(c) - F.length(F.replace(F.col(c), F.lit("\n"), F.lit("")))).cast("bigint")
