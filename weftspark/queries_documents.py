@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftspark.operators.splitting import parents
 from weftspark.plans.registry import query
 from weftspark.plans.tables import table
 
@@ -114,11 +115,15 @@ def a40(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
 
 
-@query("q_batch_split", "SELECT batch, count(*) AS n, min(id) AS first_id FROM (SELECT id, (row_number() OVER (PARTITION BY target_lang ORDER BY id) - 1) // 100 AS batch, target_lang FROM translations) GROUP BY batch")
+@query("q_batch_split", "SELECT target_lang, batch, count(*) AS n, min(id) AS first_id FROM (SELECT id, (row_number() OVER (PARTITION BY target_lang ORDER BY id) - 1) // 100 AS batch, target_lang FROM translations) GROUP BY target_lang, batch")
 def w11(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("target_lang").orderBy("id")
-    t = table(spark, sf, "translations").select("id", F.floor((F.row_number().over(w) - 1) / 100).alias("batch"))
-    return t.groupBy("batch").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    """Contiguous batches by target: rows are numbered within ranges of ids, and the ranges' counts add the rest, so no target is ordered in one task."""
+    t = table(spark, sf, "translations").select("id", "target_lang", F.floor(F.col("id") / 5_000).alias("part"))
+    before = Window.partitionBy("target_lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = t.groupBy("target_lang", "part").agg(F.count("*").alias("c")).withColumn("off", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    own = t.withColumn("r", F.row_number().over(Window.partitionBy("target_lang", "part").orderBy("id"))).withColumn("k", F.coalesce("target_lang", F.lit("")))
+    d = own.join(parts.select(F.coalesce("target_lang", F.lit("")).alias("k"), "part", "off"), ["k", "part"]).withColumn("batch", F.floor((F.col("off") + F.col("r") - 1) / 100))
+    return d.groupBy("target_lang", "batch").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 @query("q_anchor_section", "SELECT coalesce(nullif(split_part(term_key, '.', 2), ''), 'unknown') AS part, count(*) AS n FROM glossary GROUP BY 1")
@@ -139,8 +144,61 @@ def a12(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q_parent_links", "SELECT id, lv, (SELECT max(o.id) FROM k o WHERE o.source_file = k.source_file AND o.id < k.id AND o.lv < k.lv) AS parent FROM (SELECT id, source_file, CAST(metadata['section_level'] AS BIGINT) AS lv FROM knowledge WHERE source_file IS NOT NULL) k".replace("FROM k o", "FROM (SELECT id, source_file, CAST(metadata['section_level'] AS BIGINT) AS lv FROM knowledge WHERE source_file IS NOT NULL) o"))
 def w06(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest earlier entry of the same file with a smaller level; levels are few, so one window expression for each."""
-    k = table(spark, sf, "knowledge").where("source_file IS NOT NULL").select("id", "source_file", F.col("metadata").getItem("section_level").cast("bigint").alias("lv"))
-    w = Window.partitionBy("source_file").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.greatest(*[F.when(F.col("lv") > i, F.max(F.when(F.col("lv") == i, F.col("id"))).over(w)) for i in range(0, 7)])
-    return k.select("id", "lv", last.alias("parent"))
+    """Nearest earlier entry of the same file with a smaller level, by a fold over each file's entries, for levels of any number."""
+    k = table(spark, sf, "knowledge").where("source_file IS NOT NULL").select(F.col("source_file").alias("id"), F.col("id").alias("section"), F.col("metadata").getItem("section_level").cast("bigint").alias("level"), F.col("id").alias("title"))
+    return parents(k).select(F.col("section").alias("id"), F.col("level").alias("lv"), "parent")
+
+
+@query("q_next_version", "SELECT slug, 'v' || printf('%03d', max(CAST(split_part(doc_version, '.', 1) AS INT)) + 1) AS next_version FROM documents WHERE slug IS NOT NULL GROUP BY slug")
+def w09(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where("slug IS NOT NULL").groupBy("slug").agg(F.format_string("v%03d", F.max(F.split_part("doc_version", F.lit("."), F.lit(1)).cast("int")) + 1).alias("next_version"))
+
+
+@query("q_manifest_by_hash", "SELECT sha256(text) AS hash, arg_max(doc_version, (CAST(split_part(doc_version, '.', 1) AS BIGINT) * 1000 + CAST(split_part(doc_version, '.', 2) AS BIGINT)) * 1000000000 + doc_id) AS doc_version, count(*) > 1 AS reused FROM documents WHERE text IS NOT NULL AND doc_version IS NOT NULL GROUP BY 1")
+def p16b(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest version with a content (P16), and whether its output may be used again."""
+    v = lambda i: F.split_part("doc_version", F.lit("."), F.lit(i)).cast("int")
+    d = table(spark, sf, "documents").where("text IS NOT NULL AND doc_version IS NOT NULL")
+    return d.groupBy(F.sha2("text", 256).alias("hash")).agg(F.max_by("doc_version", F.struct(v(1), v(2), "doc_id")).alias("doc_version"), (F.count("*") > 1).alias("reused"))
+
+
+@query("q_latest_translation", "SELECT r.section_id, c.chunk_id, length(c.text) AS chars FROM raw_sections r LEFT JOIN (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY chunk_id DESC, text DESC) = 1) c ON c.source_id = r.source_id")
+def j02(spark: SparkSession, sf: str) -> DataFrame:
+    """A left join that keeps one row a section, the last chunk's where there are several."""
+    c = table(spark, sf, "chunks").groupBy("source_id").agg(F.max_by(F.struct("chunk_id", "text"), F.struct("chunk_id", "text")).alias("c"))
+    return table(spark, sf, "raw_sections").join(c, "source_id", "left").select("section_id", "c.chunk_id", F.length("c.text").alias("chars"))
+
+
+@query("q_positional_zip", r"SELECT id, n - 1 AS n, length(s[n]) AS source_chars, length(t[n]) AS answer_chars FROM (SELECT id, s, t, unnest(generate_series(1, least(len(s), len(t)))) AS n FROM (SELECT id, string_split(source_text, '. ') AS s, string_split(translated_text, '. ') AS t FROM translations WHERE source_text IS NOT NULL AND translated_text IS NOT NULL))")
+def j12(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs by position, as many as the shorter side has."""
+    t = table(spark, sf, "translations").where("source_text IS NOT NULL AND translated_text IS NOT NULL").select("id", F.split("source_text", r"\. ").alias("s"), F.split("translated_text", r"\. ").alias("t"))
+    n = F.least(F.size("s"), F.size("t"))
+    return t.select("id", F.posexplode(F.arrays_zip(F.slice("s", F.lit(1), n).alias("s"), F.slice("t", F.lit(1), n).alias("t"))).alias("n", "z")).select("id", F.col("n").cast("bigint").alias("n"), F.length("z.s").alias("source_chars"), F.length("z.t").alias("answer_chars"))
+
+
+@query("q_json_fields", "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL")
+def h14(spark: SparkSession, sf: str) -> DataFrame:
+    """A pointer into JSON text (H14), read as a typed struct."""
+    return table(spark, sf, "events").groupBy("event_type", (F.from_json("props", "k bigint")["k"] % 10).alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("q_slim_metadata", "SELECT id, CASE WHEN title IS NULL THEN '{' ELSE '{\"title\":' || CAST(to_json(title) AS VARCHAR) || ',' END || '\"category\":' || CAST(to_json(category) AS VARCHAR) || '}' AS slim, len(list_filter(['title', 'source_file', 'language'], lambda x: CASE x WHEN 'title' THEN title IS NULL WHEN 'source_file' THEN source_file IS NULL ELSE language IS NULL END)) AS missing FROM knowledge WHERE category IS NOT NULL")
+def h16(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata without nulls (H16), and how many required fields lack."""
+    k = table(spark, sf, "knowledge").where("category IS NOT NULL")
+    full = F.to_json(F.struct("title", "source_file", "language"))
+    return k.select("id", F.to_json(F.struct("title", "category")).alias("slim"), F.size(F.array_except(F.array(F.lit("title"), F.lit("source_file"), F.lit("language")), F.json_object_keys(full))).cast("bigint").alias("missing"))
+
+
+@query("q_exchange_dates", "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp FROM events")
+def h22(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("stamp"))
+
+
+@query("q_hash_embedding", "SELECT id, round(list_sum(list_transform(range(0, 32), lambda i: CAST('0x' || sha256(lower(content))[2 * i + 1 : 2 * i + 2] AS BIGINT) / 255.0)), 6) AS total FROM knowledge WHERE content IS NOT NULL")
+def h23(spark: SparkSession, sf: str) -> DataFrame:
+    """The deterministic stand-in for an embedding: bytes of a hash over 255."""
+    h = F.sha2(F.lower("content"), 256)
+    v = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0)
+    return table(spark, sf, "knowledge").where("content IS NOT NULL").select("id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))

@@ -44,11 +44,6 @@ def k13(spark: SparkSession, sf: str) -> DataFrame:
     return interop.metrics_text(table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n")), "documents_total", ["lang"], "n")
 
 
-@query("q_stream_windows")
-def z01(spark: SparkSession, sf: str) -> DataFrame:
-    return intake.run_available(intake.windowed_counts(intake.source(spark, f"{sf}/events.parquet"), "ts", "event_type", "1 day", "1 hour"), "windows")
-
-
 @query("q_stream_once", "SELECT count(DISTINCT sha256(text)) AS contents FROM documents")
 def z03(spark: SparkSession, sf: str) -> DataFrame:
     return intake.run_available(intake.once(intake.source(spark, f"{sf}/documents.parquet").select("doc_id", "text"), "text").select("doc_id", "content_hash"), "once").agg(F.count("content_hash").alias("contents"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftspark.functions import text as T
+from weftspark.operators import chunking as C
+from weftspark.operators import splitting as P
 from weftspark.plans.registry import query
 from weftspark.plans.tables import table
 
@@ -57,15 +59,15 @@ def c12(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("section_id", F.col("a").cast("bigint").alias("start"), F.substring("content", F.col("a") + 1, F.lit(500)).alias("piece")).where(F.length("piece") >= 100)
 
 
-@query("q_phrases", r"SELECT phrase, count(*) AS entries FROM (SELECT entry_id, unnest(list_distinct(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]), list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS phrase FROM (SELECT entry_id, regexp_split_to_array(regexp_replace(regexp_replace(lower(en), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), ' ') AS w FROM glossary WHERE regexp_full_match(en, '[ -~]+'))) GROUP BY phrase")
+@query("q_phrases", r"SELECT phrase, count(*) AS entries FROM (SELECT entry_id, unnest(list_distinct(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]), list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS phrase FROM (SELECT entry_id, regexp_extract_all(lower(en), '[\p{L}\p{N}]+') AS w FROM glossary WHERE en IS NOT NULL) WHERE len(w) > 0) GROUP BY phrase")
 def f16(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "glossary").where(F.col("en").rlike("^[ -~]+$"))
-    return g.select("entry_id", F.explode(T.phrases("en")).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("entries"))
+    w = F.array_join(F.regexp_extract_all(F.lower("en"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
+    return table(spark, sf, "glossary").where("en IS NOT NULL").select("entry_id", F.explode(T.phrases(w)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("entries"))
 
 
-@query("q_levenshtein", "SELECT doc_id, levenshtein(lower(source), 'patternhub') AS distance FROM documents")
+@query("q_levenshtein", "SELECT doc_id, levenshtein(lower(source), 'forum') AS distance FROM documents")
 def f14(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.levenshtein(F.lower("source"), F.lit("patternhub")).cast("bigint").alias("distance"))
+    return table(spark, sf, "documents").select("doc_id", F.levenshtein(F.lower("source"), F.lit("forum")).cast("bigint").alias("distance"))
 
 
 @query("q_numbers", r"SELECT id, len(regexp_extract_all(source_text, '[0-9]+(?:\.[0-9]+)?')) AS numbers, len(regexp_extract_all(coalesce(translated_text, ''), '[0-9]+(?:\.[0-9]+)?')) AS answer_numbers FROM translations")
@@ -101,3 +103,105 @@ def f20(spark: SparkSession, sf: str) -> DataFrame:
 @query("q_language_code_check", r"SELECT id, coalesce(length(source_lang) BETWEEN 2 AND 10 AND regexp_full_match(source_lang, '[A-Za-z]+(-[A-Za-z]+)*'), false) AS ok FROM translations")
 def f29(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "translations").select("id", F.coalesce(F.length("source_lang").between(2, 10) & F.col("source_lang").rlike(r"^[A-Za-z]+(-[A-Za-z]+)*$"), F.lit(False)).alias("ok"))
+
+
+# Section texts with their heading lines (short, without a stop) written as headings of each kind.
+HEADED = "regexp_replace(content, '(?m)^([^\n.!?…]{{1,40}})$', '{}', 'g')"
+
+
+def headed(spark: SparkSession, sf: str, form: str) -> DataFrame:
+    return table(spark, sf, "raw_sections").select("section_id", F.regexp_replace("content", r"(?m)^([^\n.!?…]{1,40})$", form).alias("text"))
+
+
+def _sections(form: str, head: str, title: str) -> str:
+    return rf"""SELECT section_id, section - 1 AS section, max(CASE WHEN head THEN {title} END) AS title, min(off) AS start, md5(regexp_replace(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT head), '^\s+|\s+$', '', 'g')) AS h
+FROM (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY section_id ORDER BY n) AS section, coalesce(sum(length(line) + 1) OVER (PARTITION BY section_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+FROM (SELECT section_id, n, ls[n] AS line, regexp_matches(ls[n], '{head}') AS head FROM (SELECT section_id, ls, unnest(generate_series(1, len(ls))) AS n FROM (SELECT section_id, string_split({HEADED.format(form)}, chr(10)) AS ls FROM raw_sections))))
+WHERE section > 0 GROUP BY section_id, section HAVING length(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT head), ''), '^\s+|\s+$', '', 'g')) > 0"""
+
+
+def _found(d: DataFrame) -> DataFrame:
+    return d.select(F.col("id").alias("section_id"), F.col("section").cast("bigint").alias("section"), "title", "start", F.md5("content").alias("h"))
+
+
+@query("q_markdown_sections", _sections(r"## \1", r"^(#{1,6})\s+(.+)$", "line[4:]"))
+def c03(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(P.markdown(headed(spark, sf, "## $1"), "section_id", "text"))
+
+
+@query("q_chapter_sections", _sections(r"Chapter 7: \1", r"^Chapter\s+\d+[:.]\s*.+$", "line"))
+def c04(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(P.chapters(headed(spark, sf, "Chapter 7: $1"), "section_id", "text"))
+
+
+@query("q_capital_sections", _sections("HEADING LINE", "^[А-ЯA-Z][А-ЯA-Z ]{5,}$", "line"))
+def c05b(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(P.capitals(headed(spark, sf, "HEADING LINE"), "section_id", "text"))
+
+
+@query("q_split_strategy", r"SELECT section_id, CASE WHEN regexp_matches(content, '(?m)^(#{1,6})\s+(.+)$') THEN 'markdown' WHEN regexp_matches(content, '(?im)^(глава|chapter|раздел|section)\s+\d+[:.]\s*.+$') THEN 'chapters' WHEN regexp_matches(content, '(?m)^[А-ЯA-Z][А-ЯA-Z ]{5,}$') THEN 'headings' WHEN length(content) < 3000 THEN 'paragraphs' ELSE 'fixed' END AS kind FROM raw_sections")
+def c02(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "raw_sections").select("section_id", P.strategy(F.col("content")).alias("kind"))
+
+
+@query("q_split_documents")
+def c01(spark: SparkSession, sf: str) -> DataFrame:
+    """The dispatcher over whole documents (C01, C07, C08); by brute force in the tests."""
+    return P.split(table(spark, sf, "documents"), "doc_id", "text", least=100, most=2_000, size=800)
+
+
+@query("q_chunk_strategies")
+def c14(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunking strategy over the sections, with contexts (C09 to C14, W05); by invariants in the tests."""
+    out = None
+    for how in C.STRATEGIES:
+        d = C.with_contexts(C.chunks(table(spark, sf, "raw_sections"), "section_id", "content", how, 500, 100, 20), 80).select(F.lit(how).alias("how"), F.col("id").alias("section_id"), "chunk_no", "level", "text", "prefix_context", "suffix_context")
+        out = d if out is None else out.union(d)
+    return out
+
+
+@query("q_carried_headings", r"SELECT section_id, n, coalesce(last_value(CASE WHEN head THEN line END IGNORE NULLS) OVER (PARTITION BY section_id ORDER BY n), 'cover') AS heading FROM (SELECT section_id, n - 1 AS n, ls[n] AS line, length(ls[n]) BETWEEN 1 AND 40 AND NOT regexp_matches(ls[n], '[.!?…]$') AS head FROM (SELECT section_id, ls, unnest(generate_series(1, len(ls))) AS n FROM (SELECT section_id, string_split(content, chr(10)) AS ls FROM raw_sections)))")
+def w03(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines carry the heading before them; those before the first one are the cover's."""
+    lines = table(spark, sf, "raw_sections").select("section_id", F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    head = F.length("line").between(1, 40) & ~F.col("line").rlike("[.!?…]$")
+    w = Window.partitionBy("section_id").orderBy("n")
+    return lines.select("section_id", F.col("n").cast("bigint").alias("n"), F.coalesce(F.last(F.when(head, F.col("line")), ignorenulls=True).over(w), F.lit("cover")).alias("heading"))
+
+
+@query("q_section_types", "SELECT section_id, CASE WHEN regexp_matches(lower(title), 'мат|mat') THEN 'materials' WHEN regexp_matches(lower(title), 'плот|gauge|échantillon|maschenprobe') THEN 'gauge' WHEN regexp_matches(lower(title), 'сбор|finish|assembl|fertig') THEN 'finishing' WHEN regexp_matches(lower(title), 'рук|sleeve|manch|ärmel') THEN 'sleeves' ELSE 'instructions' END AS kind FROM raw_sections")
+def f25(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rule in order that fits the heading, else instructions."""
+    t = F.lower("title")
+    kind = F.when(t.rlike("мат|mat"), "materials").when(t.rlike("плот|gauge|échantillon|maschenprobe"), "gauge").when(t.rlike("сбор|finish|assembl|fertig"), "finishing").when(t.rlike("рук|sleeve|manch|ärmel"), "sleeves").otherwise("instructions")
+    return table(spark, sf, "raw_sections").select("section_id", kind.alias("kind"))
+
+
+HINTED = {"technique": ["row", "ряд", "rang", "reihe"], "material": ["yarn", "пряж", "fil ", "garn"], "measure": ["cm", "см", "gauge", "плотност"]}
+
+
+@query("q_keyword_category", "SELECT id, CASE WHEN greatest(" + ", ".join(f"t{i}" for i in range(3)) + ") = 0 THEN 'general' " + " ".join(f"WHEN t{i} = greatest(t0, t1, t2) THEN '{k}'" for i, k in enumerate(HINTED)) + " END AS guess FROM (SELECT id, " + ", ".join(" + ".join(f"CAST(contains(lower(coalesce(title, '') || ' ' || substr(content, 1, 500)), '{w}') AS INT)" for w in ws) + f" AS t{i}" for i, ws in enumerate(HINTED.values())) + " FROM knowledge WHERE content IS NOT NULL)")
+def f27(spark: SparkSession, sf: str) -> DataFrame:
+    """The category with most hints in title and beginning, the first of equals (F27, F28); the beginning is part of the rule."""
+    t = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.substring("content", 1, 500)))
+    n = {k: sum((F.contains(t, F.lit(w)).cast("int") for w in ws), F.lit(0)) for k, ws in HINTED.items()}
+    best = F.greatest(*n.values())
+    kind = F.when(best == 0, "general")
+    for k, c in n.items():
+        kind = kind.when(c == best, k)
+    return table(spark, sf, "knowledge").where("content IS NOT NULL").select("id", kind.alias("guess"))
+
+
+@query("q_marker_counts", r"SELECT source_id, len(m) AS markers, len(list_distinct(m)) AS different FROM (SELECT source_id, regexp_extract_all(string_agg('[[c-' || chunk_id || ']] ' || text, chr(10) ORDER BY chunk_id, text), '\[\[([a-z0-9_-]+)\]\]', 1) AS m FROM chunks GROUP BY source_id)")
+def a30(spark: SparkSession, sf: str) -> DataFrame:
+    """Markers put before each chunk (F24), found again (F23, A30), and those that came twice."""
+    c = table(spark, sf, "chunks").select("source_id", F.explode(T.markers(F.concat(F.lit("[[c-"), F.col("chunk_id").cast("string"), F.lit("]] "), "text"))).alias("m"))
+    return c.groupBy("source_id").agg(F.count("*").alias("markers"), F.count_distinct("m").alias("different"))
+
+
+@query("q_sentence_budget", "SELECT id, md5(array_to_string(list_slice(s, 1, greatest(1, len(list_filter(range(1, len(s) + 1), lambda i: length(array_to_string(list_slice(s, 1, i), '. ')) <= 200)))), '. ')) AS h FROM (SELECT id, string_split(content, '. ') AS s FROM knowledge WHERE content IS NOT NULL)")
+def f34(spark: SparkSession, sf: str) -> DataFrame:
+    """Leading sentences up to a budget of characters, at least one."""
+    s = table(spark, sf, "knowledge").where("content IS NOT NULL").select("id", F.split("content", r"\. ").alias("s"))
+    fits = F.size(F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: F.length(F.array_join(F.slice("s", 1, i), ". ")) <= 200))
+    return s.select("id", F.md5(F.array_join(F.slice("s", F.lit(1), F.greatest(F.lit(1), fits)), ". ")).alias("h"))

@@ -34,3 +34,19 @@ def windowed_counts(stream: DataFrame, at: str, by: str, size: str, late: str) -
 def once(stream: DataFrame, content: str) -> DataFrame:
     """Rows whose content hash was not seen before, in this run or an earlier one with the same checkpoint."""
     return stream.withColumn("content_hash", F.sha2(content, 256)).dropDuplicates(["content_hash"])
+
+
+def with_dead_letters(stream: DataFrame, fine: str, name: str) -> DataFrame:
+    """Both tables of a run, with ``state``: rows for which ``fine`` holds as 'done', all others (an unknown result too) as 'failed'.
+
+    Each micro-batch is written once under its number, so a batch that is run again after a failure replaces itself.
+    """
+    spark = stream.sparkSession
+    out, state = new_path(spark, name), new_path(spark, f"{name}-state")
+
+    def take(batch: DataFrame, number: int) -> None:
+        done = F.coalesce(F.expr(fine), F.lit(False))
+        batch.withColumn("state", F.when(done, "done").otherwise("failed")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("basePath", out).parquet(out).drop("batch")
