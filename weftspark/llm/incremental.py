@@ -9,7 +9,7 @@ The accepted history is a folder that any later session can reopen with ``Histor
 * ``manifest``: which segments of these tables are live; the newest one counts, so a call that dies leaves no trace.
 
 Entries and keys are partitioned by a hash of their key. Segments are merged as they grow (the last two, as soon
-as the newer holds a quarter of the older), so that there are only a logarithm of them and a
+as the newer holds as much as the older), so that there are only a logarithm of them and a
 plan after fifty batches is as large as after five. A call with new batches
 
 1. makes entries and keys of the new rows only,
@@ -35,7 +35,7 @@ from weftspark.operators.components import connected_components
 from weftspark.plans.bitfilter import may_match
 from weftspark.plans.tables import new_path, stored, table
 
-PARTS = 64  # partitions of the persisted entries and keys
+PARTS = 16  # partitions of the persisted entries and keys; more of them let a small batch read less
 REPS = "node bigint, root bigint, v int"
 MATCHES = "id {}, batch int, match_id bigint, likeness double, score double"
 MANIFEST = "version int, name string, path string, n bigint, fields string"
@@ -117,11 +117,11 @@ class History:
         return path, self._segment(name, path).count()
 
     def _add(self, name: str, segment: tuple[str, int], key: str) -> None:
-        """A new segment; the last two are merged while the newer holds a quarter of the older."""
+        """A new segment; the last two are merged while the newer holds as much as the older."""
         held = self.live[name]
         if segment[1]:
             held.append(segment)
-        while len(held) > 1 and 4 * held[-1][1] >= held[-2][1]:
+        while len(held) > 1 and held[-1][1] >= held[-2][1]:
             both = [self._segment(name, held.pop()[0]).drop("part") for _ in range(2)]
             both = both[0].union(both[1])
             held.append(self._write(name, _newest(both) if name == "reps" else both, key))
@@ -208,7 +208,7 @@ class History:
         return _newest(self._read("reps", REPS)).select("node", "root")
 
 
-ARRIVALS = ("batch_no < 1", "batch_no BETWEEN 1 AND 4", "batch_no > 4")  # what p4_found hands over at a time; the rows don't depend on it
+ARRIVALS = ("batch_no < 1", "batch_no >= 1")  # what p4_found hands over at a time; the rows don't depend on it
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
