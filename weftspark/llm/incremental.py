@@ -113,7 +113,9 @@ class History:
         self.step += 1
         path = f"{self.path}/{name}/{self.version + 1}-{self.step}"
         self.fields[name] = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-        df.withColumn("part", _part(key)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+        # As many tasks as the session's shuffles have: a partition is several files once there are more tasks than partitions.
+        split = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // PARTS)
+        df.withColumn("part", _part(key)).repartition("part", F.pmod(F.xxhash64(key, F.lit(3)), F.lit(split))).write.mode("overwrite").partitionBy("part").parquet(path)
         return path, self._segment(name, path).count()
 
     def _add(self, name: str, segment: tuple[str, int], key: str) -> None:
