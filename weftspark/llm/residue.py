@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -154,7 +155,8 @@ def _fit(kind: str, records: list[list[str]], tolerance: float = 1e-3, most: int
     circles (``change`` tells). Without any trusted passage the model calls nothing residue.
     """
     ids: dict[str | None, int] = {None: 0}
-    feats, backs, ptr, rec, size, sure = [], [], [0], [], [], []
+    feats, backs = array("i"), array("i")
+    ptr, rec, size, sure = [0], [], [], []
     for r, passages in enumerate(records):
         said = Counter(passages)
         for p in passages:
@@ -167,8 +169,8 @@ def _fit(kind: str, records: list[list[str]], tolerance: float = 1e-3, most: int
             sure.append(TRUSTED[kind](p))
     if not feats or not any(sure):
         return {"prior": -60.0, "weights": {}, "rounds": 0, "change": 0.0}
-    f, back, rec, size, sure = np.array(feats), np.array(backs), np.array(rec), np.array(size, "f8"), np.array(sure)
-    own = np.repeat(np.arange(len(rec)), np.diff(ptr))
+    f, back, rec, size, sure = np.frombuffer(feats, "i4"), np.frombuffer(backs, "i4"), np.array(rec), np.array(size, "f8"), np.array(sure)
+    own = np.repeat(np.arange(len(rec), dtype="i4"), np.diff(ptr))
     counted = lambda x: np.bincount(f, x, minlength=len(ids)) + np.bincount(back, x, minlength=len(ids))
     all_ = counted(np.ones(len(f)))
     known = all_ >= 2
