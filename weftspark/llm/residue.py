@@ -8,8 +8,8 @@ notice or filler phrase (``SEEDS``). The other passages of a record that trusted
 more start as residue by that share, all others by the share of trusted passages among all. Trusted passages seed the models and do
 nothing else: what a document is, the learned scores alone decide.
 
-The models are fitted on a bounded sample: about ``SAMPLE`` documents drawn by id, and as many that hold one of the
-seeds' tell-tale words. Every document is then scored whole.
+The models are fitted on a bounded sample, about ``SAMPLE`` documents drawn by id, and the seeds. Every document is then
+scored whole.
 
 A document is residue if one of its spans is an unfilled placeholder, or if passages that
 read as filler, error or notice make up at least half of the words outside its headings.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from weftspark.llm.sampling import drawn
 from weftspark.plans.tables import table
 
-SAMPLE = 8_000  # documents, of either kind, that the models are fitted on
+SAMPLE = 8_000  # documents that the models are fitted on
 # The delimiters of template languages and mail merges, and words that ask to be filled in.
 TRUSTED_SPAN = re.compile(
     r"^(?:\{\{.*\}\}|\$\{.*\}|<%.*%>|\{%.*%\}|%\(.*\)s|__\w+__|<<.*>>|\[\[.*\]\]|@@\w+@@|##\w+##|\*\|.*\|\*|%[^\W\d]\w+%|\$[^\W\d]\w*_\w+|([XxХх_?])\1{3,}|\{ ?[^\W\d_]{3,}(?:_[^\W\d_]+)* ?\}|<[^\W\d_]{3,}(?:[ _][^\W\d_]+)*>|\[[A-ZÀ-ÞА-ЯЁ_]{3,}\]"
@@ -55,32 +55,6 @@ texte à venir. contenu à venir. votre texte ici. texte de remplissage. ceci es
 hier steht ihr text. inhalt folgt. blindtext. platzhaltertext. dies ist ein blindtext. beispieltext. beispielabsatz. seite im aufbau.
 здесь будет текст. текст появится позже. здесь ваш текст. пример текста. пример абзаца. это текст рыба. тестовая запись. страница в разработке. бла бла бла.
 """
-#: In the JVM: strings of which a text must hold one to be drawn as likely to hold a trusted passage; they only pick training records.
-HINTS = ("orem ipsum", "cript", "скрипт", "rror", "rreur", "ehler", "шибк", "ot found", "oming soon", "oes here", "{{", "${", "<%", "{%", "__", "[[", "@@", "TODO", "INSERT", "XXXX", "ХХХХ")
-SPAN = re.compile(
-    r"^(?:\{\{.*\}\}|\$\{.*\}|<%.*%>|\{%.*%\}|%\(.*\)s|__\w+__|<<.*>>|\[\[.*\]\]|@@\w+@@|##\w+##|\*\|.*\|\*|%[^\W\d]\w+%|\$[^\W\d]\w*_\w+|([XxХх_?])\1{3,}|\{ ?[^\W\d_]{3,}(?:_[^\W\d_]+)* ?\}|<[^\W\d_]{3,}(?:[ _][^\W\d_]+)*>|\[[A-ZÀ-ÞА-ЯЁ_]{3,}\]"
-    r"|[\[<{](?i:todo|tbd|insert|enter|your|fill in|votre|insérer|indiquer|ihr|bitte|ваш\w*|вставьте|укажите|введите)\b.*|[\[<{].*\b(?i:here|ici|einfügen|eintragen|сюда)[\]>}])$",
-    re.S,
-)
-# Known phrases of error pages, script notices and filler; the status texts of HTTP among them.
-SEEDS = """
-bad request. unauthorized. forbidden. not found. page not found. access denied. request timeout. too many requests. internal server error. bad gateway. service unavailable. service temporarily unavailable. gateway timeout. fatal error.
-an error occurred. something went wrong. your session has expired. please try again later. could not connect to the database. the requested url was not found on this server. the page you are looking for could not be found. the page you were looking for does not exist. the address does not exist or has been moved. back to home.
-requête incorrecte. accès refusé. accès interdit. page introuvable. page non trouvée. trop de requêtes. erreur interne du serveur. service indisponible. une erreur est survenue. votre session a expiré. veuillez réessayer plus tard. la page demandée n'existe pas. connexion à la base de données impossible. retour à l'accueil.
-ungültige anfrage. zugriff verweigert. seite nicht gefunden. zu viele anfragen. interner serverfehler. dienst nicht verfügbar. ein fehler ist aufgetreten. ihre sitzung ist abgelaufen. bitte versuchen sie es später erneut. die angeforderte seite existiert nicht. keine verbindung zur datenbank. zur startseite.
-неверный запрос. доступ запрещён. страница не найдена. слишком много запросов. внутренняя ошибка сервера. сервис недоступен. произошла ошибка. ваш сеанс истёк. попробуйте позже. запрошенная страница не существует. нет соединения с базой данных. вернуться на главную.
-please enable javascript. you need to enable javascript to run this app. this page requires javascript. javascript is required to view this site. your browser does not support scripts. enable scripts and reload the page. please turn on javascript. this page does not work without javascript.
-veuillez activer javascript. ce site nécessite javascript. votre navigateur ne prend pas en charge les scripts. activez les scripts puis rechargez la page. cette page ne fonctionne pas sans javascript.
-bitte aktivieren sie javascript. diese seite benötigt javascript. ihr browser unterstützt keine skripte. erlauben sie skripte und laden sie die seite neu. ohne javascript funktioniert diese seite nicht.
-включите javascript. для работы сайта нужен javascript. ваш браузер не поддерживает скрипты. разрешите выполнение скриптов и обновите страницу. без javascript страница не работает.
-lorem ipsum dolor sit amet. consectetur adipiscing elit. sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. ut enim ad minim veniam. quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. excepteur sint occaecat cupidatat non proident. sunt in culpa qui officia deserunt mollit anim id est laborum.
-text goes here. your text here. content goes here. content coming soon. coming soon. under construction. sample text. sample paragraph. dummy text. placeholder text. this is placeholder text. insert text here. to be announced. blah blah blah. asdf asdf.
-texte à venir. contenu à venir. votre texte ici. texte de remplissage. ceci est un faux texte. exemple de texte. exemple de paragraphe. bla bla bla. page en construction.
-hier steht ihr text. inhalt folgt. blindtext. platzhaltertext. dies ist ein blindtext. beispieltext. beispielabsatz. seite im aufbau.
-здесь будет текст. текст появится позже. здесь ваш текст. пример текста. пример абзаца. это текст рыба. тестовая запись. страница в разработке. бла бла бла.
-"""
-#: In the JVM: words of which a text must hold one to be drawn as likely to hold a trusted passage; they only pick training records.
-HINTS = r"(?i)lorem|javascript|script|скрипт|error|erreur|fehler|ошибк|not found|denied|unavailable|coming soon|goes here|placeholder|blindtext|\{\{|\$\{|<%|\{%|%\(|__|<<|\[\[|@@|\[(?:todo|insert|tbd)|<(?:your|enter|insert)|XXXX|ХХХХ"
 SPAN = re.compile(
     r"\{\{[^{}]*\}\}|\$\{[^{}]*\}|\{%[^{}]*%\}|<%[^<>]*%>|%\([^()]*\)s|<<[^<>]*>>|\[\[[^\[\]]*\]\]|\*\|[^|\n]*\|\*|\[[^\[\]]*\]|<[^<>\n]*>|\{[^{}\n]*\}|(?<!\w)%[^\W\d]\w*%(?!\w)|(?<![\w$])\$[^\W\d]\w+|(?<!\w)__[^\W_]+(?:_[^\W_]+)*__(?!\w)|(?<!\w)@@\w+@@|(?<!\w)##\w+##|(?<!\w)([XxХх_?])\1{3,}(?!\w)"
 )
@@ -260,10 +234,7 @@ def residue(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     Null ids and null or blank texts are no case; repeated rows count once. An empty table gives an empty result.
     """
     d = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    kind = F.length("text") < 160
-    for x in HINTS:
-        kind = kind | F.contains("text", F.lit(x))
-    texts = drawn(d.withColumn("hint", kind), "doc", ["text"], SAMPLE, F.col("hint")).select("text").distinct().toPandas()["text"].to_list()
+    texts = drawn(d, "doc", ["text"], SAMPLE).select("text").distinct().toPandas()["text"].to_list()
     shared = docs.sparkSession.sparkContext.broadcast(fit(sorted(texts)))
     return d.mapInPandas(_decide(shared), f"doc {d.schema['doc'].dataType.simpleString()}, kind string, share double").distinct()
 
