@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The tokens that translation must not touch, in one expression so that none is looked at twice, and a placeholder's form.
 FRAGILE = r"\[\[[a-z0-9_-]+\]\]|https?://[^\s<>\"]+|[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}|[0-9][0-9,.]*"
 PLACEHOLDER = r'<ph\s+id="(PH\d{3,}|ASSET_[A-Z0-9_-]+)"\s*/>'
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -83,7 +83,7 @@ def j08(spark: SparkSession, sf: str) -> DataFrame:
     return a.where("kind = 'A'").join(first, "h").select("id", "match_id")
 
 
-MATCHED = f"(SELECT s.id, CASE WHEN e.p IS NOT NULL THEN 'hash' WHEN v.p IS NOT NULL THEN 'visual' ELSE 'none' END AS method, CASE WHEN e.p IS NOT NULL THEN 1.0 WHEN v.p IS NOT NULL THEN 0.96 ELSE 0.0 END AS confidence FROM (SELECT * FROM {ASSETS} WHERE kind = 'A') s LEFT JOIN (SELECT page AS p, x0, qty FROM {ASSETS} WHERE kind = 'R' GROUP BY ALL) e ON e.p = s.page AND e.x0 = s.x0 AND e.qty = s.qty LEFT JOIN (SELECT page AS p, floor(x0 / 5) AS c, qty FROM {ASSETS} WHERE kind = 'R' GROUP BY ALL) v ON v.p = s.page AND v.c = floor(s.x0 / 5) AND v.qty = s.qty)"
+MATCHED = f"(SELECT s.id, CASE WHEN e.p IS NOT NULL THEN 'hash' WHEN v.p IS NOT NULL THEN 'visual' ELSE 'none' END AS method, CAST(CASE WHEN e.p IS NOT NULL THEN 1.0 WHEN v.p IS NOT NULL THEN 0.96 ELSE 0.0 END AS DOUBLE) AS confidence FROM (SELECT * FROM {ASSETS} WHERE kind = 'A') s LEFT JOIN (SELECT page AS p, x0, qty FROM {ASSETS} WHERE kind = 'R' GROUP BY ALL) e ON e.p = s.page AND e.x0 = s.x0 AND e.qty = s.qty LEFT JOIN (SELECT page AS p, floor(x0 / 5) AS c, qty FROM {ASSETS} WHERE kind = 'R' GROUP BY ALL) v ON v.p = s.page AND v.c = floor(s.x0 / 5) AND v.qty = s.qty)"
 
 
 def matched(spark: SparkSession, sf: str) -> DataFrame:

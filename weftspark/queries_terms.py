@@ -62,7 +62,7 @@ def g01(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("q_segment_terms", f"SELECT id, count(*) AS terms, sum(length(ru)) AS chars, round(sum(length(ru)) * 1.0 / any_value(n), 6) AS coverage FROM (SELECT DISTINCT t.id, g.entry_id, g.ru, length(t.source_text) AS n FROM {TR} t, {GL} g WHERE length(g.ru) > 0 AND {HIT}) GROUP BY id")
+@query("q_segment_terms", f"SELECT id, count(*) AS terms, CAST(sum(length(ru)) AS BIGINT) AS chars, round(sum(length(ru)) * 1.0 / any_value(n), 6) AS coverage FROM (SELECT DISTINCT t.id, g.entry_id, g.ru, length(t.source_text) AS n FROM {TR} t, {GL} g WHERE length(g.ru) > 0 AND {HIT}) GROUP BY id")
 def g10(spark: SparkSession, sf: str) -> DataFrame:
     """Matched terms of each segment and the share of its characters that they make up."""
     hits = T.term_hits(texts_of(spark, sf), terms_of(spark, sf, "ru")).select("id", "term_id").distinct()
@@ -160,7 +160,7 @@ def v06(spark: SparkSession, sf: str) -> DataFrame:
     return V.issues(segments_of(spark, sf), table(spark, sf, "glossary"))
 
 
-@query("q_quality_scores", f"SELECT t.id, round(greatest(0, 1 - coalesce(sum(CASE severity WHEN 'critical' THEN 0.3 WHEN 'warning' THEN 0.1 WHEN 'info' THEN 0.05 END), 0)), 6) AS quality, count(severity) AS issues, count(*) FILTER (WHERE severity = 'critical') = 0 AND round(greatest(0, 1 - coalesce(sum(CASE severity WHEN 'critical' THEN 0.3 WHEN 'warning' THEN 0.1 END), 0)), 6) >= 0.7 AS passed FROM translations t LEFT JOIN ({ISSUES}) i ON i.id = t.id GROUP BY t.id")
+@query("q_quality_scores", f"SELECT t.id, CAST(round(greatest(0, 1 - coalesce(sum(CASE severity WHEN 'critical' THEN 0.3 WHEN 'warning' THEN 0.1 WHEN 'info' THEN 0.05 END), 0)), 6) AS DOUBLE) AS quality, count(severity) AS issues, count(*) FILTER (WHERE severity = 'critical') = 0 AND round(greatest(0, 1 - coalesce(sum(CASE severity WHEN 'critical' THEN 0.3 WHEN 'warning' THEN 0.1 END), 0)), 6) >= 0.7 AS passed FROM translations t LEFT JOIN ({ISSUES}) i ON i.id = t.id GROUP BY t.id")
 def v10(spark: SparkSession, sf: str) -> DataFrame:
     s = segments_of(spark, sf)
     return V.quality(s, V.issues(s, table(spark, sf, "glossary")), 0.7)
@@ -177,7 +177,7 @@ def v09(spark: SparkSession, sf: str) -> DataFrame:
     return V.missing_tokens(segments_of(spark, sf), table(spark, sf, "glossary").select(F.explode("protected_tokens").alias("token")))
 
 
-@query("q_placeholder_counts", r"SELECT id, len(regexp_extract_all(source_text, '\[\[[a-z0-9_-]+\]\]|https?://[^\s<>""]+|[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}|[0-9][0-9,.]*')) AS tokens FROM translations WHERE source_text IS NOT NULL")
+@query("q_placeholder_counts", r"SELECT id, len(regexp_extract_all(source_text, '\[\[[a-z0-9_-]+\]\]|https?://[^\s<>]+|[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}|[0-9][0-9,.]*')) AS tokens FROM translations WHERE source_text IS NOT NULL")
 def f03(spark: SparkSession, sf: str) -> DataFrame:
     d = S.encoded(table(spark, sf, "translations").where("source_text IS NOT NULL"), "source_text")
     return d.select("id", F.size("mapping").cast("bigint").alias("tokens"))

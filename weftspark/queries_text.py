@@ -114,7 +114,7 @@ def headed(spark: SparkSession, sf: str, form: str) -> DataFrame:
 
 
 def _sections(form: str, head: str, title: str) -> str:
-    return rf"""SELECT section_id, section - 1 AS section, max(CASE WHEN head THEN {title} END) AS title, min(off) AS start, md5(regexp_replace(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT head), '^\s+|\s+$', '', 'g')) AS h
+    return rf"""SELECT section_id, CAST(section - 1 AS BIGINT) AS section, max(CASE WHEN head THEN {title} END) AS title, CAST(min(off) AS BIGINT) AS start, md5(regexp_replace(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT head), '^\s+|\s+$', '', 'g')) AS h
 FROM (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY section_id ORDER BY n) AS section, coalesce(sum(length(line) + 1) OVER (PARTITION BY section_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
 FROM (SELECT section_id, n, ls[n] AS line, regexp_matches(ls[n], '{head}') AS head FROM (SELECT section_id, ls, unnest(generate_series(1, len(ls))) AS n FROM (SELECT section_id, string_split({HEADED.format(form)}, chr(10)) AS ls FROM raw_sections))))
 WHERE section > 0 GROUP BY section_id, section HAVING length(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT head), ''), '^\s+|\s+$', '', 'g')) > 0"""
