@@ -40,7 +40,7 @@ TRUSTED_SPAN = re.compile(
 )
 # Known phrases of error pages, script notices and filler; the status texts of HTTP among them.
 SEEDS = """
-bad request. unauthorized. forbidden. not found. page not found. access denied. request timeout. too many requests. internal server error. bad gateway. service unavailable. service temporarily unavailable. gateway timeout. fatal error.
+bad request. unauthorized. forbidden. not found. page not found. access denied. request timeout. too many requests. internal server error. bad gateway. service unavailable. service temporarily unavailable. gateway timeout. fatal error. fatal error: uncaught exception in index php on line. fatal error: uncaught error in page php on line.
 an error occurred. something went wrong. your session has expired. please try again later. could not connect to the database. the requested url was not found on this server. the page you are looking for could not be found. the page you were looking for does not exist. the address does not exist or has been moved. back to home.
 requête incorrecte. accès refusé. accès interdit. page introuvable. page non trouvée. trop de requêtes. erreur interne du serveur. service indisponible. une erreur est survenue. votre session a expiré. veuillez réessayer plus tard. la page demandée n'existe pas. connexion à la base de données impossible. retour à l'accueil.
 ungültige anfrage. zugriff verweigert. seite nicht gefunden. zu viele anfragen. interner serverfehler. dienst nicht verfügbar. ein fehler ist aufgetreten. ihre sitzung ist abgelaufen. bitte versuchen sie es später erneut. die angeforderte seite existiert nicht. keine verbindung zur datenbank. zur startseite.
