@@ -81,6 +81,18 @@ def test_term_hits_and_overlaps(spark):
     assert term_hits(texts, terms.limit(0)).count() == 0
 
 
+def test_texts_with_terms_count_terms_of_one_form_together(spark):
+    from weftspark.operators.terms import held_forms, texts_with_terms
+
+    n, m = 2000, 2000
+    texts = spark.createDataFrame([(i, "Cast on, then cast on a heel") for i in range(n)] + [(n, None), (n, "heel")], "id int, text string")
+    terms = spark.createDataFrame([(i, "cast on") for i in range(m)] + [(m, "Heel"), (m, "cast  ON"), (m + 1, "..."), (m + 2, None), (m + 3, "on cast")], "term_id int, term string")
+    got = dict(rows(texts_with_terms(texts, terms)))
+    assert got == {i: n for i in range(m)} | {m: n + 1}
+    found = held_forms(texts, "text", spark.createDataFrame([("cast on",), ("heel",), (None,)], "form string"))
+    assert found.count() == 2 * n + 1 and held_forms(texts, "text", spark.createDataFrame([], "form string")).count() == 0
+
+
 def test_similar_words_and_violations(spark):
     from difflib import SequenceMatcher
 
