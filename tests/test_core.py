@@ -93,6 +93,40 @@ def test_texts_with_terms_count_terms_of_one_form_together(spark):
     assert found.count() == 2 * n + 1 and held_forms(texts, "text", spark.createDataFrame([], "form string")).count() == 0
 
 
+@pytest.fixture(scope="module")
+def one_term(spark, tmp_path_factory):
+    """A glossary of 700 entries with the same words, and 700 segments that hold them."""
+    d = str(tmp_path_factory.mktemp("one_term"))
+    g = [(i, f"k{i}", "stitch", [], "петля Вако", "Vako heel", "talon Vako") for i in range(700)]
+    spark.createDataFrame(g, "entry_id bigint, term_key string, category string, protected_tokens array<string>, ru string, en string, fr string").write.parquet(f"{d}/glossary.parquet")
+    t = [(i, "одна петля и петля", "a knit stitch", "ru", "en") for i in range(700)]
+    spark.createDataFrame(t, "id bigint, source_text string, translated_text string, source_lang string, target_lang string").write.parquet(f"{d}/translations.parquet")
+    return d
+
+
+WANT = {  # rows, one of them, and the most bytes shuffled; texts times terms were megabytes
+    "q_segment_terms": (700, (5, 700, 3500, round(3500 / 18, 6))),
+    "q_term_violations": (490_000, (5, 6, "term_missing", "heel")),
+    "q_longest_terms": (1400, (5, 3, 0)),
+}
+
+
+@pytest.mark.parametrize("name", WANT)
+def test_equal_terms_are_not_multiplied_in_shuffles(spark, one_term, name):
+    import time
+
+    from weftspark import catalog
+
+    written = lambda: time.sleep(1) or spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    d = catalog.queries()[name](spark, one_term)
+    found = {tuple(sorted(r.asDict().items())) for r in d.collect()}
+    n, row = WANT[name]
+    columns = {"q_segment_terms": ("id", "terms", "chars", "coverage"), "q_longest_terms": ("id", "pos", "term_id")}.get(name, ("id", "rule_id", "type", "suggestion"))
+    assert len(found) == n and tuple(sorted(zip(columns, row))) in found and set(d.columns) == set(columns)
+    assert written() - before < 400_000
+
+
 def test_similar_words_and_violations(spark):
     from difflib import SequenceMatcher
 
