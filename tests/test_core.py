@@ -93,6 +93,39 @@ def test_texts_with_terms_count_terms_of_one_form_together(spark):
     assert found.count() == 2 * n + 1 and held_forms(texts, "text", spark.createDataFrame([], "form string")).count() == 0
 
 
+def test_rules_by_kind_equal_rules_one_by_one():
+    import random
+
+    from weftspark.operators.terms import _case_forced, carried_out
+
+    def one_by_one(text, kinds):
+        for _, src, tgt, protected, case, forms in sorted((i, *k[1:]) for k in kinds for i in k[0]):
+            end = lambda t, add: t.rstrip(" ") + (" " if t else "") + add
+            if protected:
+                if src not in text:
+                    first = next((a for a in forms if a in text), None)
+                    text = text.replace(first, src) if first is not None else end(text, src)
+                continue
+            if not any(a.lower() in text.lower() for a in forms):
+                text = text.replace(src, tgt) if src in text else end(text, tgt)
+            if case:
+                text = _case_forced(text, tgt)
+        return text
+
+    rng = random.Random(5)
+    bits = ["aab", "AAB", "ba", "b a", "Abb ", "bba", "ab"]
+    for _ in range(4000):
+        kinds = {}
+        for i in range(rng.randint(1, 14)):
+            k = (rng.choice(bits), tgt := rng.choice(bits), rng.random() < 0.3, rng.random() < 0.4, (tgt, *rng.sample(bits, rng.randint(0, 2))))
+            kinds.setdefault(k, []).extend(sorted(rng.sample(range(20), rng.randint(1, 5))))
+        every = [(sorted(ids), *k[:4], list(k[4])) for k, ids in kinds.items()]
+        text = "".join(rng.choice("abAB  ") for _ in range(rng.randint(0, 9)))
+        assert carried_out(text, every) == one_by_one(text, every)
+    # A thousand entries with the same words cost one trial, not a thousand.
+    assert carried_out("x", [(list(range(1_000_000)), "петля", "stitch", False, False, ["stitch"])]) == "x stitch"
+
+
 @pytest.fixture(scope="module")
 def one_term(spark, tmp_path_factory):
     """A glossary of 700 entries with the same words, and 700 segments that hold them."""
