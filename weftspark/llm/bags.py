@@ -16,7 +16,9 @@ number into its hash, so that a bag becomes a set and its overlaps plain interse
    inner nodes of ``FAN`` leaves, with the OR of their token bitmaps and their range of
    sizes. Node pairs are traversed together from the top and dropped as soon as
    the largest overlap they allow is below the threshold; all trees of a batch
-   are walked at once as numpy frontiers.
+   are walked at once as numpy frontiers. Where both inner nodes are full, their leaves would
+   prune nothing: all their entries are compared at once by folded bitmaps, of which the
+   differing bits are never more than the words that the two bags don't share.
 3. Pairs that reach the bottom are compared exactly on their token sets in the JVM.
 """
 
@@ -39,6 +41,7 @@ HOT = 16_384  # bags below one root before it is split into blocks
 FAN = 8
 BITS = 512
 SLICE = 150_000  # node pairs held at once
+DENSE = 400  # pairs of entries below two inner nodes from which these are compared as a block
 
 
 def words(text: Column | str) -> Column:
@@ -224,6 +227,14 @@ def _walk(root, side, cls, n, rank, lo, hi, comp, bits, thr: float) -> tuple[np.
     inner_at = np.flatnonzero(place[leaf_at] % (FAN * FAN) == 0)
     inner = _Level(inner_at, len(leaf_at), leaves.bits, leaves.low, leaves.high, leaves.slack, leaves.first, leaves.last)
     tree = root[leaf_at[inner_at]]
+    head = leaf_at[inner_at]
+    tail = np.append(head[1:], m)
+    fold = np.zeros((2, m + FAN * FAN), "u8")
+    for i in range(bits.shape[1]):
+        fold[i % 2, :m] ^= bits[:, i]
+    # A bag may miss as many words of any partner's; 128 differing bits are the most there are.
+    spare = np.zeros(m + FAN * FAN, "u1")
+    spare[:m] = np.minimum(n - np.ceil(thr * n - 1e-9), BITS // 8 * 2 - 1)
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def rows(x: np.ndarray, y: np.ndarray) -> None:
@@ -238,6 +249,16 @@ def _walk(root, side, cls, n, rank, lo, hi, comp, bits, thr: float) -> tuple[np.
         ok = most >= need
         found.append((cls[x[ok]], cls[y[ok]]))
 
+    def dense(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of entries below each node of a and that of b, of which the folded bitmaps differ in no more bits than both may miss words."""
+        x, y = head[a][:, None] + np.arange(FAN * FAN), head[b][:, None] + np.arange(FAN * FAN)
+        apart = np.bitwise_count(fold[0][x][:, :, None] ^ fold[0][y][:, None, :])
+        apart += np.bitwise_count(fold[1][x][:, :, None] ^ fold[1][y][:, None, :])
+        k, i, j = np.nonzero(apart <= spare[x][:, :, None] + spare[y][:, None, :])
+        x, y = x[k, i], y[k, j]
+        ok = (x < tail[a][k]) & (y < tail[b][k]) & ((a != b)[k] | (x < y))
+        return x[ok], y[ok]
+
     def sliced(a: np.ndarray, b: np.ndarray, step: int):
         for i in range(0, len(a), step):
             yield a[i : i + step], b[i : i + step]
@@ -250,6 +271,10 @@ def _walk(root, side, cls, n, rank, lo, hi, comp, bits, thr: float) -> tuple[np.
         b = a + d
         ok = inner.may(a, b, thr) if d else inner.apart(a, b)
         a, b = a[ok], b[ok]
+        full = (tail[a] - head[a]) * (tail[b] - head[b]) >= DENSE
+        for p, q in sliced(a[full], b[full], 16):
+            rows(*dense(p, q))
+        a, b = a[~full], b[~full]
         for p, q in sliced(a, b, SLICE // FAN**2):
             x, y = _expand(p, q, inner.start, inner.end)
             ok = np.where(x == y, leaves.apart(x, y), leaves.may(x, y, thr))
