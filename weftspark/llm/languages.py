@@ -1,15 +1,16 @@
 """Languages of documents and of their sentences (problem 6).
 
-For each language an interpolated Kneser-Ney model over four characters is estimated from a
-bounded sample of labelled rows, twice: the second time without the rows that the first
-models contradict. All n-grams seen in any language are kept in one sorted array of hashes
+For each language an interpolated Kneser-Ney model over four characters is estimated from the distinct texts of
+all labelled rows, twice: the second time without the sentences that the first models contradict. Executors count the
+n-grams; the driver gets each distinct one once, which an alphabet bounds, not the rows. All n-grams seen in any language are kept in one sorted array of hashes
 with a column of log probabilities for each language, so that a text is scored for all
 languages by one binary search per character; unseen n-grams are backed off exactly. Letters of no
 known language are one more character, so they cost every model dearly. A sentence
 gets the language with the lowest cross-entropy per character, or none if that exceeds the language's limit
 (rejection) or if it has too few letters to tell.
 
-Limit and confidence are calibrated on a fifth of the labelled texts that no model has seen. The limit lies above
+Limit and confidence are calibrated on a fifth of the labelled texts, by hash, that the final models haven't seen. Their entropies are all
+counted, in steps of 1/FINE nat. The limit lies above
 all but REFUSED of a language's own held-out sentences, by half the narrowest gap that any model leaves between these and
 all but REFUSED of the other languages' sentences. The confidence is the logistic of the lead
 over the second-best language in nats, at the temperature under which the held-out sentences are likeliest.
@@ -17,18 +18,20 @@ over the second-best language in nats, at the temperature under which the held-o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm.sampling import drawn
-from weftspark.plans.tables import table
+from weftspark.plans.tables import stored, table
 
 LANGS = ("ru", "en", "fr", "de")
-SAMPLE = 700  # labelled texts of each language and table that the models are fitted on
+HELD = 5  # one in so many labelled texts is held out
+FEWEST = 50  # sentences of a language below which the held-out ones are learned too
+FINE = 10_000  # steps of a nat in which entropies are counted
+HEATS = np.geomspace(2, 60, 18)
 LETTERS = 14  # a sentence with fewer letters has no language of its own
 D = 0.75
 REFUSED = 0.001  # share of a language's own sentences that rejection may cost, and of others' that it may let in, on held-out texts
@@ -103,9 +106,14 @@ def _codes(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c[at], at
 
 
-def _grams(c: np.ndarray) -> np.ndarray:
+def _grams(c: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+    """The four characters that end at each; with ``text`` (to which text each belongs) those of another text count as blanks."""
     p = np.concatenate([np.zeros(3, "i4"), c])
-    return ((p[:-3] * BASE + p[1:-2]) * BASE + p[2:-1]) * BASE + p[3:]
+    before = [p[:-3], p[1:-2], p[2:-1]]
+    if text is not None:
+        own = np.concatenate([np.full(3, -1), text])
+        before = [np.where(own[k : k - 3] == text, x, 0) for k, x in enumerate(before)]
+    return ((before[0] * BASE + before[1]) * BASE + before[2]) * BASE + c
 
 
 def _look(keys: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray:
@@ -116,8 +124,9 @@ def _look(keys: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray:
 class KneserNey:
     """One language's model; ``prob`` is the interpolated probability of any n-gram's last character."""
 
-    def __init__(self, grams: np.ndarray):
-        u, c = np.unique(grams, return_counts=True)
+    def __init__(self, grams: np.ndarray, counts: np.ndarray | None = None):
+        """``counts`` of ``grams``, if these are distinct and sorted; else each counts as one."""
+        u, c = np.unique(grams, return_counts=True) if counts is None else (grams, counts)
         self.grams, self.context = {4: (u, c)}, {}
         for o in (4, 3, 2):
             u, c = self.grams[o]
@@ -137,33 +146,27 @@ class KneserNey:
 
 
 class Models:
-    def __init__(self, texts: dict[str, list[str]], held: dict[str, list[str]] | None = None):
-        self.langs = [x for x in LANGS if texts.get(x)]
-        self.own = [KneserNey(_grams(_codes(np.frombuffer("\n".join(texts[x]).encode("utf-32-le", "surrogatepass"), "u4"))[0])) for x in self.langs]
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.langs = [x for x in LANGS if x in counts and len(counts[x][0])]
+        self.own = [KneserNey(*counts[x]) for x in self.langs]
         self.keys = np.unique(np.concatenate([m.grams[4][0] for m in self.own])) if self.own else np.zeros(1, "i4")
         self.logp = np.stack([np.log(m.prob(self.keys)) for m in self.own], 1).astype("f4") if self.own else np.zeros((1, 0), "f4")
         self.worst, self.heat = np.full(len(self.langs), np.inf), 5.0
-        if held:
-            self.calibrate(held)
-
-    def calibrate(self, held: dict[str, list[str]]) -> None:
-        rows, truth = [], []
-        for j, x in enumerate(self.langs):
-            s = self.scan(held.get(x) or [""])
-            ok = s["letters"] >= LETTERS
-            rows.append(np.concatenate([s["per"][ok], (s["margin"] * s["letters"])[ok, None], s["best"][ok, None]], 1))
-            truth.append(np.full(ok.sum(), j))
-        v, t = np.concatenate(rows), np.concatenate(truth)
+
+    def calibrate(self, counted: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], heats: np.ndarray) -> None:
+        """``counted``: (0, j) of language j's own held-out sentences and (1, j) of others', sorted steps of entropy and how many;
+        ``heats``: log likelihood of all at each of HEATS."""
         k = len(self.langs)
-        own = [np.quantile(v[(t == j) & (v[:, -1] == j), j], 1 - REFUSED) if ((t == j) & (v[:, -1] == j)).sum() > 20 else np.inf for j in range(k)]
-        # The quick sentences of other languages that a mislabelled held-out text holds are no foreign ones: the best guess must agree.
-        far = [np.quantile(v[(t != j) & (v[:, -1] == t), j], REFUSED) - own[j] for j in range(k) if np.isfinite(own[j]) and ((t != j) & (v[:, -1] == t)).sum() > 20]
+
+        def quantile(kind: int, j: int, q: float) -> float:
+            steps, n = counted.get((kind, j), (np.zeros(0), np.zeros(0, "i8")))
+            return (steps[np.searchsorted(np.cumsum(n), q * n.sum())] + 0.5) / FINE if n.sum() > 20 else np.inf
+
+        own = [quantile(0, j, 1 - REFUSED) for j in range(k)]
+        far = [f - own[j] for j in range(k) if np.isfinite(own[j]) and np.isfinite(f := quantile(1, j, REFUSED))]
         self.worst = np.array([o + max(0.0, 0.5 * min(far)) if far else o for o in own])
-        lead, right = v[:, -2], v[:, -1] == t
-        if len(lead):
-            heats = np.geomspace(2, 60, 18)
-            p = 1 / (1 + np.exp(-np.clip(lead[:, None] / heats, 0, 500)))
-            self.heat = float(heats[np.argmax(np.where(right[:, None], np.log(p), np.log1p(-np.minimum(p, 1 - 1e-12))).sum(0))])
+        if heats.any():
+            self.heat = float(HEATS[np.argmax(heats)])
 
     def sure(self, nats: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.asarray(nats, "f8") / self.heat, 0, 500)))
@@ -172,7 +175,7 @@ class Models:
         """Of each sentence: text, start, end (in the joined texts), letters, best (index or -1), entropy, margin."""
         cp, owner, start, end = cut(texts)
         c, at = _codes(cp)
-        keys = _grams(c)
+        keys = _grams(c, owner[np.searchsorted(end, at, side="right")])
         i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         lp = self.logp[i]
         miss = self.keys[i] != keys
@@ -198,34 +201,128 @@ class Models:
         return {"text": owner, "start": start, "end": end, "letters": letters, "best": best, "entropy": entropy, "margin": margin, "per": per, "cp": cp}
 
 
+def _told(first: Models, plain: np.ndarray, texts: list[str], j: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The scan of texts, and which sentences both the first models and the letters' frequencies give to the label j of their text.
+
+    A model learns the sentences of other languages in its texts as well, since contexts of another script are theirs alone.
+    How often each letter occurs tells them apart: they are few. So both speak when sentences are weeded out.
+    """
+    s = first.scan(texts)
+    c, at = _codes(s["cp"])
+    place = np.searchsorted(at, s["start"])
+    flat = np.add.reduceat(np.concatenate([plain[:, c].T * (c > 0)[:, None], np.zeros((1, len(plain)))]), place, axis=0) / np.maximum(s["letters"], 1)[:, None]
+    return s, (s["letters"] >= LETTERS) & ((s["per"] + flat).argmin(1) == j[s["text"]])
+
+
+def _counted(keys: Callable[[list[str], np.ndarray, np.ndarray], np.ndarray]):
+    """(k, n): how often ``keys`` of texts, labels and held gives each number; summed within a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, fresh, size = pd.Series(dtype="i8"), [], 0
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                p = pdf.iloc[at : at + 500]
+                u, n = np.unique(keys(p["text"].to_list(), p["j"].to_numpy(), p["held"].to_numpy()), return_counts=True)
+                fresh.append(pd.Series(n.astype("i8"), u))
+                size += len(u)
+                if size > 1_000_000:
+                    sums, fresh, size = pd.concat([sums, *fresh]).groupby(level=0).sum(), [], 0
+        sums = pd.concat([sums, *fresh]).groupby(level=0).sum()
+        yield pd.DataFrame({"k": sums.index.to_numpy("i8"), "n": sums.to_numpy("i8")})
+
+    return run
+
+
+def _sums(d: DataFrame, keys) -> tuple[np.ndarray, np.ndarray]:
+    rows = d.mapInPandas(_counted(keys), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas().sort_values("k")
+    return rows["k"].to_numpy("i8"), rows["n"].to_numpy("i8")
+
+
+GRAM = 32  # bits of a gram, or of a letter with the 30th set, below the label and whether it is held out
+LETTER = 1 << 30
+
+
+def _first_keys(texts: list[str], j: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Grams of all characters, and the letters of sentences that are long enough."""
+    cp, owner, start, end = cut(texts)
+    c, at = _codes(cp)
+    row = np.searchsorted(end, at, side="right")
+    label = j[owner[row]].astype("i8") << GRAM
+    enough = (c > 0) & (np.bincount(row, c > 0, minlength=len(end)) >= LETTERS)[row]
+    return np.concatenate([label | _grams(c, owner[row]), (label | LETTER | c)[enough]])
+
+
+def _agreed_keys(shared):
+    def run(texts: list[str], j: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Grams of the sentences that are their label's, and one LETTER for each of these."""
+        s, ok = _told(*shared.value, texts, j)
+        c, at = _codes(s["cp"])
+        row = np.searchsorted(s["end"], at, side="right")
+        label = (j[s["text"]].astype("i8") * 2 + held[s["text"]]) << GRAM
+        return np.concatenate([(label[row] | _grams(c, row))[ok[row]], (label | LETTER)[ok]])
+
+    return run
+
+
+def _held_entropies(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(kind, j, k, n, v): entropies counted in steps k, or at kind 2 the log likelihood v at heat j."""
+        first, plain, models = shared.value
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                texts, j = pdf["text"].iloc[at : at + 500].to_list(), pdf["j"].iloc[at : at + 500].to_numpy()
+                _, ok = _told(first, plain, texts, j)
+                s = models.scan(texts)
+                truth = np.array([models.langs.index(x) if x in models.langs else -1 for x in first.langs])[j[s["text"]]]
+                ok &= truth >= 0
+                per, best, truth = s["per"][ok], s["best"][ok], truth[ok]
+                lead, right = (s["margin"] * s["letters"])[ok], best == truth
+                p = 1 / (1 + np.exp(-np.clip(lead[:, None] / HEATS, 0, 500)))
+                out = [pd.DataFrame({"kind": 2, "j": np.arange(len(HEATS)), "k": 0, "n": 0, "v": np.where(right[:, None], np.log(p), np.log1p(-np.minimum(p, 1 - 1e-12))).sum(0)})]
+                for lang in range(len(models.langs)):
+                    # The quick sentences of other languages that a mislabelled held-out text holds are no foreign ones: the best guess must agree.
+                    for kind, mine in enumerate((truth == lang, truth != lang)):
+                        u, n = np.unique((per[mine & right, lang] * FINE).astype("i8"), return_counts=True)
+                        out.append(pd.DataFrame({"kind": kind, "j": lang, "k": u, "n": n, "v": 0.0}))
+                yield pd.concat(out)
+
+    return run
+
+
 def fit(labelled: DataFrame) -> Models:
-    """Models from (id, text, lang) rows with clean labels; about SAMPLE texts of each language are drawn, by id."""
-    d = labelled.where(F.col("text").isNotNull() & F.col("lang").isin(*LANGS))
-    rows = drawn(d, "id", ["text"], SAMPLE, F.col("lang")).toPandas().sort_values(["lang", "text"])
-    texts = {x: rows.loc[rows["lang"] == x, "text"].to_list() for x in LANGS}
-    first = Models(texts)
+    """Models from (id, text, lang) rows with clean labels: all with an id are read, equal texts of a language once."""
+    number = F.create_map(*[F.lit(x) for i, lang in enumerate(LANGS) for x in (lang, i)])
+    d = labelled.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isin(*LANGS)).select("text", number[F.col("lang")].alias("j")).distinct()
+    d = stored(d.withColumn("held", (F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0).cast("int")), "labelled")
+    k, n = _sums(d, _first_keys)
+    code, of = k & (LETTER - 1), k >> GRAM
+    gram = (k & LETTER) == 0
+    counts = {x: (code[gram & (of == i)].astype("i4"), n[gram & (of == i)]) for i, x in enumerate(LANGS)}
+    first = Models(counts)
     if not first.langs:
         return first
-    # A model learns the sentences of other languages in its sample as well, since contexts of another script are theirs alone.
-    # How often each letter occurs tells them apart: they are few. So both speak when sentences are weeded out.
-    lines = {}
-    for x in first.langs:
-        s = first.scan(texts[x])
-        ok = s["letters"] >= LETTERS
-        lines[x] = [s["cp"][a:b].tobytes().decode("utf-32-le", "surrogatepass").strip() for a, b in zip(s["start"][ok], s["end"][ok])]
-    codes = {x: [_codes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "u4"))[0] for t in lines[x]] for x in first.langs}
-    letters = np.stack([np.bincount(np.concatenate([np.zeros(0, "i4"), *codes[x]]), minlength=BASE) + 0.5 for x in first.langs])
-    letters[:, 0] = 0.5  # blanks
+    letters = np.full((len(first.langs), BASE), 0.5)
+    for i, x in enumerate(first.langs):
+        at = ~gram & (of == LANGS.index(x))
+        letters[i, code[at]] += n[at]
     plain = -np.log(letters / letters.sum(1, keepdims=True))
-    agreed: dict[str, list[str]] = {}
-    for j, x in enumerate(first.langs):
-        s = first.scan(lines[x])
-        n = len(lines[x])
-        weight = np.bincount(s["text"], s["letters"], minlength=n + 1)[:n]
-        deep = np.stack([np.bincount(s["text"], s["per"][:, k] * s["letters"], minlength=n + 1)[:n] for k in range(len(first.langs))], 1) / np.maximum(weight, 1)[:, None]
-        flat = np.stack([plain[:, c[c > 0]].mean(1) for c in codes[x]]) if n else deep
-        agreed[x] = [t for t, best in zip(lines[x], (deep + flat).argmin(1)) if best == j]
-    return Models({x: [t for i, t in enumerate(v) if i % 5 or len(v) < 50] for x, v in agreed.items()}, {x: [t for i, t in enumerate(v) if i % 5 == 0] for x, v in agreed.items()})
+    # From here on labels are places in first.langs.
+    place = F.create_map(*[F.lit(v) for i, x in enumerate(first.langs) for v in (LANGS.index(x), i)])
+    d = d.withColumn("j", place[F.col("j")])
+    spread = d.sparkSession.sparkContext.broadcast
+    k, n = _sums(d, _agreed_keys(spread((first, plain))))
+    code, of, gram = k & (LETTER - 1), k >> GRAM, (k & LETTER) == 0
+    counts = {}
+    for i, x in enumerate(first.langs):
+        few = n[~gram & (of >> 1 == i)].sum() < FEWEST
+        at = gram & ((of >> 1 == i) if few else (of == 2 * i))
+        u, inv = np.unique(code[at].astype("i4"), return_inverse=True)
+        counts[x] = u, np.bincount(inv, n[at], minlength=len(u)).astype("i8")
+    models = Models(counts)
+    rows = d.where("held = 1").mapInPandas(_held_entropies(spread((first, plain, models))), "kind int, j int, k bigint, n bigint, v double").groupBy("kind", "j", "k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas().sort_values(["kind", "j", "k"])
+    heats = rows[rows["kind"] == 2]
+    models.calibrate({x: (g["k"].to_numpy(), g["n"].to_numpy()) for x, g in rows[rows["kind"] < 2].groupby(["kind", "j"])}, np.bincount(heats["j"].to_numpy("i8"), heats["v"].to_numpy("f8"), minlength=len(HEATS)))
+    return models
 
 
 def found_languages(models: Models, texts: list[str]) -> list[list[tuple[str, float]]]:
